@@ -15,23 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # One identity per user, cycling over attack tools, controllers and people.
-ACTOR = """CASE user_id % 20
- WHEN 0 THEN concat('adversary-escv-', CAST(user_id % 7 AS STRING))
- WHEN 1 THEN concat('redteam-stratus-', CAST(user_id AS STRING))
- WHEN 2 THEN concat('system:serviceaccount:kube-system:c', CAST(user_id AS STRING))
- WHEN 3 THEN 'ci-deployer'
- WHEN 4 THEN concat('redteam-peirates-', CAST(user_id AS STRING))
- WHEN 5 THEN concat('adversary-lat-', CAST(user_id % 11 AS STRING))
- WHEN 6 THEN concat('adversary-impv-', CAST(user_id % 7 AS STRING))
- WHEN 7 THEN concat('redteam-rakkess-', CAST(user_id AS STRING))
- WHEN 8 THEN concat('ns:recon-sa-', CAST(user_id AS STRING))
- WHEN 9 THEN concat('adversary-evav-', CAST(user_id % 9 AS STRING))
- WHEN 10 THEN concat('adversary-stealth-', CAST(user_id AS STRING))
- WHEN 11 THEN concat('redteam-persist-', CAST(user_id AS STRING))
- WHEN 12 THEN concat('redteam-lat-ext-', CAST(user_id AS STRING))
- WHEN 13 THEN concat('system:node:n', CAST(user_id AS STRING))
- WHEN 14 THEN concat('victim-sa-', CAST(user_id AS STRING))
- ELSE concat('user-', CAST(user_id AS STRING)) END"""
+ACTOR_STEM = "|".join([
+    "adversary-escv-", "redteam-stratus-", "system:serviceaccount:kube-system:c", "ci-deployer",
+    "redteam-peirates-", "adversary-lat-", "adversary-impv-", "redteam-rakkess-", "ns:recon-sa-",
+    "adversary-evav-", "adversary-stealth-", "redteam-persist-", "redteam-lat-ext-",
+    "system:node:n", "victim-sa-", "user-", "user-", "user-", "user-", "user-"])
+ACTOR = f"""concat(split_part('{ACTOR_STEM}', '|', CAST(user_id % 20 + 1 AS INT)),
+ CASE WHEN user_id % 20 = 3 THEN '' ELSE CAST(CASE WHEN user_id % 20 IN (0, 6) THEN user_id % 7
+   WHEN user_id % 20 = 5 THEN user_id % 11 WHEN user_id % 20 = 9 THEN user_id % 9
+   ELSE user_id END AS STRING) END)"""
 K_INT = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 REVIEWER = "(user_id % 20 IN (7, 8) AND k % 4 < 3)"
 
