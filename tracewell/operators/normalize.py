@@ -124,11 +124,21 @@ def dedup_id(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def tool_label(user: Column) -> Column:
-    """First matching substring rule."""
-    expr = F.lit(K.DEFAULT_TOOL)
-    for keys, tool in reversed(K.TOOL_RULES):
-        expr = F.when(any_of([user.contains(k) for k in keys]), tool).otherwise(expr)
-    return expr
+    """First matching substring rule.
+
+    The rules are one literal array searched in order, so the user column occurs once and a
+    filter on the label stays small when Catalyst pushes it down.
+    """
+    rules = F.array(*[F.struct(F.array(*[F.lit(k) for k in keys]).alias("keys"),
+                               F.lit(tool).alias("tool")) for keys, tool in K.TOOL_RULES])
+    hit = F.filter(rules, lambda r: F.exists(r["keys"], lambda k: user.contains(k)))
+    return F.coalesce(F.get(hit, 0)["tool"], F.lit(K.DEFAULT_TOOL))
+
+
+def lookup(mapping: dict[str, str], key: Column) -> Column:
+    """Literal map lookup, null for keys that are not listed."""
+    items = [F.lit(x) for pair in mapping.items() for x in pair]
+    return F.try_element_at(F.create_map(*items), key)
 
 
 def is_attack(user: Column, tool: Column | None = None) -> Column:
@@ -191,13 +201,10 @@ def category_label(part: Column, label: Column, user: Column) -> Column:
     """Report category of a row, null when it is not reported."""
     uid = last_segment(user)
     control = uid.contains("ci-deployer") | uid.contains("compliance")
-    expr = F.when(part == "test", F.when(
-        (label == 1) & ~is_recon(uid), "IN-DIST escalation (synthetic)")
-        .when(label == 1, "IN-DIST recon-sa")
-        .when(control, "BENIGN can-i").otherwise("BENIGN normal"))
-    for name, category in K.PART_CATEGORY.items():
-        expr = expr.when(part == name, category)
-    return expr
+    in_test = F.when(label == 1, F.when(
+        is_recon(uid), "IN-DIST recon-sa").otherwise("IN-DIST escalation (synthetic)")
+    ).when(control, "BENIGN can-i").otherwise("BENIGN normal")
+    return F.coalesce(lookup(K.PART_CATEGORY, part), F.when(part == "test", in_test))
 
 
 def onehot_topk(df: DataFrame, column: str, k: int, ids: list[str]) -> DataFrame:

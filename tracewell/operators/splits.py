@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import last_segment
 from tracewell.operators.joins import vector_columns, vector_keys
-from tracewell.operators.normalize import is_recon
+from tracewell.operators.normalize import is_recon, lookup
 from tracewell.operators.partition import hash_bucket, hash_order, running_totals
 
 
@@ -102,21 +102,22 @@ def halves(df: DataFrame, row_id: str = "row_id", keys: list[str] | None = None,
 def tool_part(tool: Column, user: Column, session: Column) -> Column:
     """Partition of a window by tool, identity and session."""
     uid = last_segment(user)
-    train = K.TRAIN_IDENTITIES
-    pick = lambda t, rest: F.when(uid.isin(train[t]), "train").otherwise(rest)
-    named = lambda part, t: F.when(uid.contains(part), f"{t}_eval").otherwise("drop")
-    expr = F.when(tool == "rakkess", "recon_eval")
-    for t in ("stratus", "peirates", "lowslow", "persistence", "lateralext", "compromised"):
-        expr = expr.when(tool == t, f"{t}_eval")
-    return (expr
-            .when(tool == "lateral", pick("lateral", "lateral_eval"))
-            .when(tool == "escv", pick("escv", "escv_eval"))
-            .when(tool == "impact", pick("impact", named("impv", "impact")))
-            .when(tool == "evasion", pick("evasion", named("evav", "evasion")))
-            .when(is_recon(uid), F.when(session.isin(5, 6), "recon_eval")
-                  .otherwise("train_recon_excl"))
-            .when(session.isin(5, 6), "test")
-            .otherwise("train"))
+    trained = [f"{t}|{u}" for t, users in K.TRAIN_IDENTITIES.items() for u in users]
+    held = {t: f"{t}_eval" for t in (
+        "stratus", "peirates", "lowslow", "persistence", "lateralext", "compromised", "lateral",
+        "escv")}
+    held["rakkess"] = "recon_eval"
+    # The varied identities of these two tools are evaluated, their older templates dropped.
+    varied = F.when(uid.contains("impv"), "impact_eval").otherwise("drop")
+    return F.coalesce(
+        F.when(F.concat_ws("|", tool, uid).isin(trained), "train"),
+        lookup(held, tool),
+        F.when(tool == "impact", varied),
+        F.when(tool == "evasion", F.when(uid.contains("evav"), "evasion_eval").otherwise("drop")),
+        F.when(is_recon(uid), F.when(session.isin(5, 6), "recon_eval")
+               .otherwise("train_recon_excl")),
+        F.when(session.isin(5, 6), "test"),
+        F.lit("train"))
 
 
 def identity_split(df: DataFrame, assignment: DataFrame, key: str = "uid") -> DataFrame:
