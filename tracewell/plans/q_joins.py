@@ -359,10 +359,10 @@ def split_assert_strata(spark, sf):
     return report
 
 
-@query("op_topk_importance", f"""WITH {V.PRED}, {Q.points_cte('pred', 'component')}
+@query("op_topk_by_auc", f"""WITH {V.PRED}, {Q.points_cte('pred', 'component')}
   SELECT component, {Q.AUC} AS roc_auc FROM pts GROUP BY component ORDER BY roc_auc DESC LIMIT 2""")
-def op_topk_importance(spark, sf):
-    """Ranking by a per-name score; the same order-and-limit serves feature importances."""
+def op_topk_by_auc(spark, sf):
+    """Components ranked by ROC area."""
     from tracewell.operators.evaluate import auc
     pts = score_points(V.predictions(spark, sf), keys=["component"])
     return auc(pts, ["component"]).select("component", "roc_auc").orderBy(
