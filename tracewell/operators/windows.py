@@ -53,16 +53,23 @@ def last_rows_frame(keys: list[str], size: int = K.WINDOW_EVENTS):
 
 def window_features(
     events: DataFrame, keys: list[str] = GROUP, size: int = K.WINDOW_EVENTS,
-    extra: dict[str, Column] | None = None, **split
+    extra: dict[str, Column] | None = None, context: str | None = None, **split
 ) -> DataFrame:
     """The 34-feature table, one row per event; ``extra`` adds distinct counts of other values.
 
+    Rows flagged by the boolean column ``context`` only serve as look-back for later rows: they
+    are not counted in the running totals and not returned.
+
     Counts over the last ``size`` events are differences of running sums ``size`` rows apart, so
     each row costs the same whatever the frame; only the distinct counts look at the frame itself.
     """
     counted, extra = _counted(), extra or {}
     cum = {name: make() for name, make in CUMULATIVE.items()}
+    if context:
+        cum = {name: cond & ~F.col(context) for name, cond in cum.items()}
     df = split_hot_groups(events, keys, halo_rows=size - 1, totals=cum, **split)
+    if context:
+        df = df.withColumn("_halo", F.col("_halo") | F.col(context))
     frame, so_far, order = last_rows_frame(keys, size)
     df = df.withColumns({f"_f{c}": flag(cond) for c, cond in counted.items()})
     df = df.withColumns({
@@ -120,8 +127,11 @@ def rich_features(
     return full.select(*events.columns, *RICH_FEATURES)
 
 
-def _over_last(events: DataFrame, keys: list[str], size: int, expr, name: str, **split) -> DataFrame:
+def _over_last(events: DataFrame, keys: list[str], size: int, expr, name: str,
+               context: str | None = None, **split) -> DataFrame:
     df = split_hot_groups(events, keys, halo_rows=size - 1, **split)
+    if context:
+        df = df.withColumn("_halo", F.col("_halo") | F.col(context))
     frame, _, _ = last_rows_frame(keys, size)
     return df.withColumn(name, expr(frame)).where(~F.col("_halo")).select(*events.columns, name)
 

@@ -118,7 +118,7 @@ FLOW_FEATS = ["duration", "packets_count", "fwd_packets_count", "total_bytes"]
 
 def clean_flows(spark, sf):
     df, feats = FL.load_tabular(V.flows(spark, sf).drop("l_shipdate"), ["source_file"])
-    return df.withColumnRenamed("y", "label"), [f for f in feats if f != "row_id"]
+    return df.withColumnRenamed("y", "label"), feats
 
 
 @query("op_cross_dataset")
