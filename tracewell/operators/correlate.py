@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import any_of, parse_iso, severity_band, sigmoid
 from tracewell.operators.joins import pod_actor
+from tracewell.operators.partition import running_totals
+from tracewell.session import broadcast_if_small
 
 GAP_SECONDS = 60
 
@@ -55,7 +57,8 @@ def alerts_from_syscalls(df: DataFrame, pods: DataFrame | None = None) -> DataFr
 
 def apply_thresholds(alerts: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
     """Keep alerts at or over their component's threshold."""
-    return (alerts.join(thresholds.select("component", "threshold"), "component", "left")
+    small = broadcast_if_small(thresholds.select("component", "threshold"))
+    return (alerts.join(small, "component", "left")
             .where(F.col("raw_score") >= F.coalesce("threshold", F.lit(default)))
             .drop("threshold"))
 
@@ -64,7 +67,8 @@ def calibrate(alerts: DataFrame, calibrators: DataFrame | None = None) -> DataFr
     """Logistic calibration per component; identity for components without one."""
     if calibrators is None:
         return alerts.withColumn("calibrated", F.col("raw_score"))
-    out = alerts.join(calibrators.select("component", "coef", "intercept"), "component", "left")
+    small = broadcast_if_small(calibrators.select("component", "coef", "intercept"))
+    out = alerts.join(small, "component", "left")
     score = sigmoid(F.col("coef") * F.col("raw_score") + F.col("intercept"))
     return out.withColumn("calibrated", F.coalesce(score, "raw_score")).drop("coef", "intercept")
 
@@ -102,18 +106,19 @@ def assemble(assigned: DataFrame, keys: list[str] = ["actor"]) -> DataFrame:
         F.max("calibrated").alias("base_score"))
 
 
-def incident_sequence(assigned: DataFrame, keys: list[str] = ["actor"], slot_seconds: int = 3600
+def incident_sequence(assigned: DataFrame, keys: list[str] = ["actor"], part_rows: int = 10_000
                       ) -> DataFrame:
-    """The ordered hints of every incident, one row per incident and time slot.
+    """The ordered hints of every incident, at most ``part_rows`` of them per row.
 
-    Concatenating an incident's rows by ``slot`` gives its attack sequence. A single slot is the
-    rule; a very long incident has many, so no row holds all of it.
+    An incident's rows in ``part`` order give its attack sequence. One part is the rule; a very
+    long incident has many, so no row holds all of it.
     """
-    hinted = assigned.where(F.col("hint") != "")
-    slot = F.floor((F.col("us") - F.col("start_us")) / (slot_seconds * 1_000_000))
-    return hinted.groupBy(*keys, "start_us", slot.alias("slot")).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("us", "seq", "hint"))), lambda x: x["hint"])
-        .alias("hints"))
+    group = [*keys, "start_us"]
+    pos = running_totals(assigned.where(F.col("hint") != ""), [F.col("us"), F.col("seq")],
+                         F.floor(F.col("us") / 60_000_000), {"_pos": F.lit(1)}, group)
+    part = F.floor((F.col("_pos") - 1) / part_rows)
+    return pos.groupBy(*group, part.alias("part")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_pos", "hint"))), lambda x: x["hint"]).alias("hints"))
 
 
 def match_chains(assigned: DataFrame, keys: list[str] = ["actor"], chains=K.CHAINS) -> DataFrame:

@@ -8,32 +8,49 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import safe_div
 
 SPAN_BUCKET_US = 3_600_000_000
+CROWDED_SPANS = 2_000
 
 
 def first_match_interval(
     events: DataFrame, spans: DataFrame, value: dict[str, Column], us: str = "us",
-    *, bucket_us: int = SPAN_BUCKET_US, applies: Column | None = None,
+    *, event_id: str = "audit_id", bucket_us: int = SPAN_BUCKET_US, applies: Column | None = None,
+    crowded: int = CROWDED_SPANS,
 ) -> DataFrame:
     """Left join of each event to the first interval (lowest ``pos``) with start <= time <= end.
 
     ``spans`` has ``start_us``, ``end_us`` and ``pos``. Intervals are laid over time buckets, so
-    the join is an equi-join on the bucket and yields exactly one row per event; there is no
-    nested loop, and only intervals touching the same bucket are compared.
+    the join is an equi-join on the bucket, not a nested loop. While no bucket holds more than
+    ``crowded`` intervals they travel as one array per bucket and every event meets one row. Past
+    that they stay rows, and the lowest position is taken per event.
     """
-    fields = [c.alias(n) for n, c in value.items()]
     laid = (spans.where(F.col("end_us") >= F.col("start_us"))
+            .select("pos", "start_us", "end_us", *[c.alias(f"_f_{n}") for n, c in value.items()])
             .withColumn("_bucket", F.explode(F.sequence(
-                F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us))))
-            .groupBy("_bucket")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "start_us", "end_us", *fields)))
-                 .alias("_spans")))
-    joined = (events.withColumn("_bucket", F.floor(F.col(us) / bucket_us))
-              .join(laid, "_bucket", "left"))
+                F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us)))))
+    tagged = events.withColumn("_bucket", F.floor(F.col(us) / bucket_us))
+    counts = laid.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    if not counts.where(F.col("_n") > crowded).isEmpty():
+        inside = F.col(us).between(F.col("start_us"), F.col("end_us"))
+        if applies is not None:
+            inside = inside & applies
+        first = (tagged.select(event_id, us, "_bucket", *_used(events, applies, event_id, us))
+                 .join(laid, "_bucket").where(inside).groupBy(event_id)
+                 .agg(F.min_by(F.struct(*[f"_f_{n}" for n in value]), "pos").alias("_hit")))
+        joined = events.join(first, event_id, "left")
+        return joined.select(*events.columns, *[F.col(f"_hit._f_{n}").alias(n) for n in value])
+    arrays = laid.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", "start_us", "end_us", *[f"_f_{n}" for n in value]))).alias("_spans"))
+    joined = tagged.join(arrays, "_bucket", "left")
     hit = F.get(F.filter("_spans", lambda s: F.col(us).between(s["start_us"], s["end_us"])), 0)
     if applies is not None:
         hit = F.when(applies, hit)
     joined = joined.withColumn("_hit", hit)
-    return joined.select(*events.columns, *[F.col(f"_hit.{n}").alias(n) for n in value])
+    return joined.select(*events.columns, *[F.col(f"_hit._f_{n}").alias(n) for n in value])
+
+
+def _used(events: DataFrame, applies: Column | None, *have: str) -> list[str]:
+    """The remaining event columns, needed only when a condition reads them."""
+    return [] if applies is None else [c for c in events.columns if c not in have]
 
 
 def session_span(events: DataFrame, spans: DataFrame, mode: str = "exact", us: str = "us"

@@ -85,39 +85,68 @@ def split_hot_groups(
     return out.select(*df.columns, "_t.*")
 
 
+def _prefix_sums(per: DataFrame, keys: list[str], levels: list[str], totals) -> DataFrame:
+    """Sums of everything before each bucket, level by level, plus the group's whole sum."""
+    parents = [*keys, *levels[:-1]]
+    whole = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = per.select(
+        *keys, *levels,
+        *[F.coalesce(F.sum(f"_s_{t}").over(before), F.lit(0)).alias(f"_base_{t}") for t in totals],
+        *[F.sum(f"_s_{t}").over(whole).alias(f"{t}_all") for t in totals])
+    if len(levels) == 1:
+        return out
+    up = per.groupBy(*parents).agg(*[F.sum(f"_s_{t}").alias(f"_s_{t}") for t in totals])
+    up = _prefix_sums(up, keys, levels[:-1], totals).withColumnsRenamed(
+        {f"_base_{t}": f"_up_{t}" for t in totals})
+    return out.drop(*[f"{t}_all" for t in totals]).join(up, parents).select(
+        *keys, *levels, *[f"{t}_all" for t in totals],
+        *[(F.col(f"_base_{t}") + F.col(f"_up_{t}")).alias(f"_base_{t}") for t in totals])
+
+
 def running_totals(
     df: DataFrame,
     order: list[Column],
-    bucket: Column,
+    bucket: Column | list[Column],
     totals: dict[str, Column],
     keys: list[str] | None = None,
 ) -> DataFrame:
     """Running sums over a global (or per-key) order without one task seeing it all.
 
-    ``bucket`` must rise with the order. Rows are summed per bucket, the bucket table gets prefix
-    sums, and the remaining running sum is taken inside each bucket. Adds ``<total>`` (inclusive)
-    and ``<total>_all`` (sum over the whole group).
+    ``bucket`` must rise with the order; a list gives nested levels, coarse to fine. Rows are
+    summed per bucket, the bucket table gets prefix sums, and the remaining running sum is taken
+    inside each bucket. Adds ``<total>`` (inclusive) and ``<total>_all`` (the whole group).
     """
     keys = keys or []
-    tagged = df.withColumn("_b", bucket)
-    per = tagged.groupBy(*keys, "_b").agg(
+    buckets = bucket if isinstance(bucket, list) else [bucket]
+    levels = [f"_b{i}" for i in range(len(buckets))]
+    tagged = df.withColumns(dict(zip(levels, buckets)))
+    per = tagged.groupBy(*keys, *levels).agg(
         *[F.sum(c).alias(f"_s_{t}") for t, c in totals.items()])
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(
-        *keys, "_b",
-        *[F.coalesce(F.sum(f"_s_{t}").over(before), F.lit(0)).alias(f"_base_{t}") for t in totals],
-        *[F.sum(f"_s_{t}").over(whole).alias(f"{t}_all") for t in totals])
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
+    base = _prefix_sums(per, keys, levels, totals)
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(base, [*keys, "_b"]).withColumns(
+    out = tagged.join(base, [*keys, *levels]).withColumns(
         {t: F.sum(c).over(inside) + F.col(f"_base_{t}") for t, c in totals.items()})
-    return out.drop("_b", *[f"_base_{t}" for t in totals])
+    return out.drop(*levels, *[f"_base_{t}" for t in totals])
 
 
 def unit_bucket(score: Column, buckets: int = 65536) -> Column:
-    """Bucket of a score in [0, 1]; the bucket table is bounded by ``buckets`` rows per key."""
-    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * buckets).cast("bigint")
+    """Bucket of a score in [0, 1], even in log-odds.
+
+    Detector scores crowd near 0 and 1, where equal steps would put most of them into two
+    buckets. The bucket table has at most ``buckets`` + 1 rows per key.
+    """
+    span = 40.0
+    odds = F.when(score <= 0, -span).when(score >= 1, span).otherwise(
+        F.least(F.greatest(F.log(score / (1 - score)), F.lit(-span)), F.lit(span)))
+    return F.floor((odds + span) / (2 * span) * buckets).cast("bigint")
+
+
+def text_buckets(text: Column, levels: int = 3) -> list[Column]:
+    """Nested buckets rising with the text's byte order, two bytes per level."""
+    code = F.rpad(F.hex(F.encode(text, "UTF-8")), 4 * levels, "0")
+    return [F.conv(F.substring(code, 4 * i + 1, 4), 16, 10).cast("bigint") for i in range(levels)]
 
 
 def hash_order(cols: list[str], seed: int = 42) -> Column:

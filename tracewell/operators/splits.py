@@ -9,7 +9,12 @@ from tracewell.functions import constants as K
 from tracewell.functions.scalars import last_segment
 from tracewell.operators.joins import vector_columns, vector_keys
 from tracewell.operators.normalize import is_recon, lookup
-from tracewell.operators.partition import hash_bucket, hash_order, running_totals
+from tracewell.operators.partition import (
+    hash_bucket,
+    hash_order,
+    running_totals,
+    text_buckets,
+)
 
 
 def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label") -> DataFrame:
@@ -22,19 +27,13 @@ def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label
         key, "attacks", (F.col("attacks") / F.col("_all")).alias("share"))
 
 
-def text_bucket(text: Column, width: int = 4) -> Column:
-    """A number rising with the text's byte order, from its first bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, width)), 2 * width, "0"),
-                  16, 10).cast("bigint")
-
-
 def vocabulary(tokens: DataFrame, column: str = "token") -> DataFrame:
     """Sorted distinct tokens numbered from 2, after ``<PAD>`` and ``<UNK>``.
 
     Numbers come from prefix sums over text prefixes, so no task sorts all tokens.
     """
     distinct = tokens.select(F.col(column).alias("token")).distinct()
-    numbered = running_totals(distinct, [F.col("token")], text_bucket(F.col("token")),
+    numbered = running_totals(distinct, [F.col("token")], text_buckets(F.col("token")),
                               {"id": F.lit(1)})
     special = distinct.sparkSession.createDataFrame(
         [("<PAD>", 0), ("<UNK>", 1)], "token string, id bigint")
@@ -57,7 +56,7 @@ def encode_category(df: DataFrame, reference: DataFrame, column: str) -> DataFra
     """Dense codes of the reference's sorted values; -1 for values it never had."""
     distinct = reference.select(column).distinct()
     text = F.col(column)
-    codes = running_totals(distinct, [text], text_bucket(text), {"_code": F.lit(1)})
+    codes = running_totals(distinct, [text], text_buckets(text), {"_code": F.lit(1)})
     return (df.join(codes.select(column, (F.col("_code") - 1).alias("code")), column, "left")
             .withColumn("code", F.coalesce("code", F.lit(-1))))
 

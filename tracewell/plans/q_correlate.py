@@ -12,7 +12,7 @@ from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
 from tracewell.plans.q_sources import SYSCALL, syscall_lines
 from tracewell.plans.registry import query
-from tracewell.session import scratch_path
+from tracewell.session import materialize, scratch_path
 from tracewell.sources.readers import parse_syscall_lines
 from tracewell.sources.writers import write_incidents
 
@@ -110,7 +110,8 @@ def inc_threshold(spark, sf):
         "seq", "actor", "component", "raw_score")
 
 
-@query("inc_calibrate", f"WITH {KEPT} SELECT seq, component, calibrated FROM kp")
+@query("inc_calibrate", f"WITH {KEPT} SELECT seq, component, calibrated FROM kp",
+       rounded=("calibrated",))
 def inc_calibrate(spark, sf):
     return kept_alerts(spark, sf).select("seq", "component", "calibrated")
 
@@ -121,16 +122,19 @@ def inc_sessionize(spark, sf):
 
 
 @query("inc_assemble", f"""WITH {FINAL} SELECT actor, start_us, end_us, n_alerts, components, n_hints,
-  base_score FROM inc""")
+  base_score FROM inc""",
+       rounded=("base_score",))
 def inc_assemble(spark, sf):
     return C.assemble(assigned(spark, sf))
 
 
-@query("inc_sequence", f"""WITH {FINAL} SELECT actor, start_us,
-  CAST((us - start_us) // 3600000000 AS BIGINT) AS slot, string_agg(hint, '>' ORDER BY us, seq) AS hints
-  FROM asg WHERE hint <> '' GROUP BY 1, 2, 3""")
+@query("inc_sequence", f"""WITH {FINAL}, hp AS (SELECT *, (row_number() OVER (PARTITION BY actor, start_us
+    ORDER BY us, seq) - 1) // 3 AS part FROM asg WHERE hint <> '')
+  SELECT actor, start_us, CAST(part AS BIGINT) AS part, string_agg(hint, '>' ORDER BY us, seq) AS hints
+  FROM hp GROUP BY 1, 2, 3""")
 def inc_sequence(spark, sf):
-    return C.incident_sequence(assigned(spark, sf)).withColumn("hints", F.array_join("hints", ">"))
+    return C.incident_sequence(assigned(spark, sf), part_rows=3).withColumn(
+        "hints", F.array_join("hints", ">"))
 
 
 @query("inc_chain_match", f"""WITH {FINAL} SELECT actor, start_us, chain_matched, CAST(boost AS DOUBLE) AS boost
@@ -139,7 +143,8 @@ def inc_chain_match(spark, sf):
     return C.match_chains(assigned(spark, sf))
 
 
-@query("inc_boost", f"WITH {FINAL} SELECT actor, start_us, base_score, boosted_score FROM fin")
+@query("inc_boost", f"WITH {FINAL} SELECT actor, start_us, base_score, boosted_score FROM fin",
+       rounded=("base_score", "boosted_score"))
 def inc_boost(spark, sf):
     return incidents(spark, sf).select("actor", "start_us", "base_score", "boosted_score")
 
@@ -219,7 +224,7 @@ def correlation_report(spark, sf):
     from tracewell.operators.evaluate import score_points, threshold_at_fpr
     df = halves(V.predictions(spark, sf), keys=["component"])
     cal = df.where(F.col("half") == "calibration")
-    thr = threshold_at_fpr(score_points(cal, keys=["component"]), 0.05, ["component"])
+    thr = materialize(threshold_at_fpr(score_points(cal, keys=["component"]), 0.05, ["component"]))
     test = C.alerts_from_predictions(df.where(F.col("half") == "evaluation"))
     out = C.correlate(test, thr, gap_seconds=GAP)
     return out.groupBy("severity").agg(F.count(F.lit(1)).alias("incidents"),

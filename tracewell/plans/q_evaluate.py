@@ -89,7 +89,8 @@ def op_fpr_at_recall(spark, sf):
   q AS (SELECT component, quantile_cont(prob, 0.99) AS benign_p99, quantile_cont(prob, 0.95) AS benign_p95
     FROM pred WHERE label = 0 GROUP BY component)
   SELECT q.component, coalesce(t, 0.5) AS threshold, benign_p99, benign_p95
-  FROM q LEFT JOIN r ON q.component = r.component""")
+  FROM q LEFT JOIN r ON q.component = r.component""",
+       rounded=("benign_p99", "benign_p95"))
 def op_threshold_at_fpr(spark, sf):
     df = preds(spark, sf)
     roc = E.threshold_at_fpr(E.score_points(df, keys=["component"]), 0.01, ["component"])
@@ -155,7 +156,8 @@ def op_group_metrics(spark, sf):
 
 
 @query("op_brier", f"""WITH {V.PRED} SELECT avg((prob - label) * (prob - label)) AS brier,
-  CAST(count(*) AS BIGINT) AS rows FROM pred""")
+  CAST(count(*) AS BIGINT) AS rows FROM pred""",
+       rounded=("brier",))
 def op_brier(spark, sf):
     return E.brier(preds(spark, sf))
 
@@ -169,7 +171,8 @@ def op_ece(spark, sf):
     return E.ece(preds(spark, sf)).select(F.round("ece", 9).alias("ece"))
 
 
-@query("op_calibration_bins", f"WITH {BINS} SELECT * FROM b")
+@query("op_calibration_bins", f"WITH {BINS} SELECT * FROM b",
+       rounded=("mean_prob", "rate"))
 def op_calibration_bins(spark, sf):
     return E.calibration_bins(preds(spark, sf))
 
@@ -273,7 +276,8 @@ def op_keyword_agreement(spark, sf):
 @query("op_density_split", f"""WITH {TOKENS}, a AS (SELECT list_has_any(tokens,
     [{Q.names(K.DISTINCT_TOKENS)}]) AS distinctive, value / (value + 50) AS prob FROM tk)
   SELECT distinctive, CAST(count(*) AS BIGINT) AS windows, min(prob) AS min_prob, avg(prob) AS mean_prob,
-    max(prob) AS max_prob, avg(CAST(prob >= 0.5 AS INT)) AS detected FROM a GROUP BY distinctive""")
+    max(prob) AS max_prob, avg(CAST(prob >= 0.5 AS INT)) AS detected FROM a GROUP BY distinctive""",
+       rounded=("mean_prob",))
 def op_density_split(spark, sf):
     df = token_table(spark, sf).withColumn("prob", F.col("value") / (F.col("value") + 50))
     return E.density_split(df)

@@ -309,7 +309,8 @@ MEASURES = ["duration_s", "tot_fwd_pkts", "tot_bwd_pkts", "tot_bytes", "fwd_pkt_
   CASE WHEN tot_bwd_pkts > 0 THEN tot_bytes / tot_bwd_pkts ELSE 0 END AS bwd_pkt_len_mean,
   packets_count / CASE WHEN duration_s = 0 THEN 1e-9 ELSE duration_s END AS flow_pkts_per_s,
   duration_s / CASE WHEN packets_count = 0 THEN 1 ELSE packets_count END AS flow_iat_mean_s,
-  CAST({PROTO.format(6)} AS INT) AS protocol FROM dv""")
+  CAST({PROTO.format(6)} AS INT) AS protocol FROM dv""",
+       rounded=("duration_s", "flow_pkts_per_s", "flow_iat_mean_s"))
 def op_derive_flow(spark, sf):
     return FL.derive_flow(V.flows(spark, sf)).select("row_id", *MEASURES, "protocol")
 

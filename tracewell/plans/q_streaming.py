@@ -125,7 +125,8 @@ def scored_history(spark, sf):
 
 @query("str_episode_alert", f"""WITH {SCORED} SELECT session, actor,
   CAST(count(*) FILTER (WHERE prob >= 0.5) AS BIGINT) AS fired, max(prob) AS max_prob FROM sc
-  GROUP BY session, actor HAVING count(*) FILTER (WHERE prob >= 0.5) >= 2""")
+  GROUP BY session, actor HAVING count(*) FILTER (WHERE prob >= 0.5) >= 2""",
+       rounded=("max_prob",))
 def str_episode_alert(spark, sf):
     feats = scratch_path(spark, "scored")
     scored_history(spark, sf).select("session", "actor", "prob").write.parquet(feats)

@@ -315,7 +315,8 @@ EPISODES = f"""{Q.LABELLED}, eps AS (SELECT part, session, uid, CAST(count(*) AS
     FROM lab1 GROUP BY part, session, uid)"""
 
 
-@query("agg_episode", f"WITH {EPISODES} SELECT * FROM eps")
+@query("agg_episode", f"WITH {EPISODES} SELECT * FROM eps",
+       rounded=("mean_prob",))
 def agg_episode(spark, sf):
     return A.episodes(scored_windows(spark, sf))
 
@@ -405,7 +406,8 @@ _PROFILE = ["n_delete", "n_create", "n_secrets", "has_impersonation", "severity"
        + ", ".join(f"avg({f}) AS {f}_mean, CAST(min({f}) AS DOUBLE) AS {f}_min, "
                    f"CAST(max({f}) AS DOUBLE) AS {f}_max" for f in _PROFILE)
        + ", quantile_cont(prob, 0.5) AS prob_median, quantile_cont(prob, 0.95) AS prob_p95 "
-         "FROM lab1 WHERE prob >= 0.3 GROUP BY tool")
+         "FROM lab1 WHERE prob >= 0.3 GROUP BY tool",
+       rounded=("prob_median", "prob_p95"))
 def agg_feature_profile(spark, sf):
     fired = scored_windows(spark, sf).where(F.col("prob") >= 0.3)
     q = A.score_quantile(fired, {"prob_median": 0.5, "prob_p95": 0.95}, ["tool"])
@@ -451,7 +453,8 @@ def agg_band_overlap(spark, sf):
 
 @query("agg_window_eval", f"""WITH {V.PRED} SELECT actor, CAST(count(*) AS BIGINT) AS windows,
   CAST(count(*) FILTER (WHERE prob >= 0.5) AS BIGINT) AS flagged, min(prob) AS min_prob,
-  avg(prob) AS mean_prob, max(prob) AS max_prob FROM pred GROUP BY actor""")
+  avg(prob) AS mean_prob, max(prob) AS max_prob FROM pred GROUP BY actor""",
+       rounded=("mean_prob",))
 def agg_window_eval(spark, sf):
     return A.window_eval(V.predictions(spark, sf))
 

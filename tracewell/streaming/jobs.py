@@ -42,15 +42,11 @@ def run_batches(stream: DataFrame, process, checkpoint: str, poll: str | None =
 
 def dedup(stream: DataFrame, key: str = "audit_key", ts: str = "ts", lateness: str = LATENESS
           ) -> DataFrame:
-    """Drop repeated ids within the lateness; rows without an id all pass.
-
-    Rows without an id get a key of their own from their content and position in the stream, so
-    one stateful operator serves both kinds.
-    """
-    blank = F.coalesce(F.col(key), F.lit("")) == ""
-    own = F.concat(F.lit("row-"), F.expr("uuid()"))
-    return (stream.withColumn("_key", F.when(blank, own).otherwise(F.col(key)))
-            .withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["_key"]).drop("_key"))
+    """Drop repeated ids within the lateness; rows without an id bypass the state and all pass."""
+    named = F.coalesce(F.col(key), F.lit("")) != ""
+    first = (stream.where(named).withWatermark(ts, lateness)
+             .dropDuplicatesWithinWatermark([key]))
+    return first.unionByName(stream.where(~named).withWatermark(ts, lateness))
 
 
 def incident_sessions(stream: DataFrame, gap: str = "60 seconds", lateness: str = LATENESS,
