@@ -15,6 +15,7 @@ from tracewell.operators.partition import (
     running_totals,
     text_buckets,
 )
+from tracewell.session import broadcast_if_small
 
 
 def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label") -> DataFrame:
@@ -40,16 +41,24 @@ def vocabulary(tokens: DataFrame, column: str = "token") -> DataFrame:
     return numbered.select("token", (F.col("id") + 1).cast("bigint").alias("id")).unionByName(special)
 
 
-def encode_tokens(df: DataFrame, vocab: DataFrame, ids: list[str], column: str = "tokens"
-                  ) -> DataFrame:
+def encode_tokens(df: DataFrame, vocab: DataFrame, ids: list[str], column: str = "tokens",
+                  literal_rows: int = 1_000) -> DataFrame:
     """Token arrays to id arrays, unknown tokens to 1.
 
-    A join on the token handles any vocabulary size; the array has at most one window's tokens.
+    A counted, small vocabulary becomes a map literal and the arrays are rewritten in place. A
+    larger one is joined per token, broadcast while its size allows it.
     """
+    known = vocab.limit(literal_rows + 1).collect()
+    if len(known) <= literal_rows:
+        items = [F.lit(x) for r in known for x in (r["token"], r["id"])]
+        codes = F.create_map(*items)
+        return df.select(*ids, F.transform(column, lambda t: F.coalesce(
+            F.try_element_at(codes, t), F.lit(1))).alias("token_ids"))
     parts = df.select(*ids, F.posexplode(column).alias("_i", "token"))
-    known = parts.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(1)))
-    return known.groupBy(*ids).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "id"))), lambda x: x["id"]).alias("token_ids"))
+    small = broadcast_if_small(vocab.select("token", F.col("id").alias("_id")))
+    coded = parts.join(small, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(1)))
+    return coded.groupBy(*ids).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_i", "_id"))), lambda x: x["_id"]).alias("token_ids"))
 
 
 def encode_category(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
