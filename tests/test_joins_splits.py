@@ -118,13 +118,14 @@ def test_vocabulary_and_encoding(spark):
 
 
 def test_strata_gate(spark):
-    ok = spark.createDataFrame([("recon", 3, 4), ("stolen-token", 1, 1)],
-                               "profile string, train_episodes int, test_episodes int")
-    SP.assert_strata(ok, ["recon", "stolen-token"])
+    rows = [("recon", h) for h in ["train"] * 3 + ["test"] * 4] + [("stolen-token", "train"), ("stolen-token", "test"),
+                                                                  ("valid-abuse", "train")]
+    eps = spark.createDataFrame(rows, "profile string, split string")
+    SP.assert_strata(SP.strata_report(eps), ["recon", "stolen-token"])
     with pytest.raises(ValueError):
-        SP.assert_strata(ok, ["recon", "valid-abuse"])
+        SP.assert_strata(SP.strata_report(eps), ["recon", "valid-abuse"])
     with pytest.raises(ValueError):
-        SP.assert_strata(ok, ["recon", "stolen-token"], min_recon=5)
+        SP.assert_strata(SP.strata_report(eps, min_recon=5), ["recon"])
 
 
 def test_class_weight_is_floored_and_capped(spark):

@@ -134,26 +134,27 @@ def match_chains(assigned: DataFrame, keys: list[str] = ["actor"], chains=K.CHAI
         *group, "hint", F.struct("us", "seq").alias("_at"))
     bounds = None
     for depth in range(max((len(seq) + 1) // 2 for _, seq, _ in chains)):
-        rows = hints if bounds is None else hints.join(bounds, group)
+        live = [(i, seq) for i, (_, seq, _) in enumerate(chains) if depth <= len(seq) - 1 - depth]
         aggs = []
-        for i, (_, seq, _) in enumerate(chains):
-            left, right = depth, len(seq) - 1 - depth
-            if left > right:
-                continue
-            inside = F.lit(True) if depth == 0 else (
+        for i, seq in live:
+            inside = F.lit(True) if bounds is None else (
                 (F.col("_at") > F.col(f"_l{i}")) & (F.col("_at") < F.col(f"_r{i}")))
-            aggs += [
-                F.min(F.when(inside & (F.col("hint") == seq[left]), F.col("_at"))).alias(f"_nl{i}"),
-                F.max(F.when(inside & (F.col("hint") == seq[right]), F.col("_at"))).alias(f"_nr{i}")]
-        fresh = rows.groupBy(*group).agg(*aggs)
-        merged = fresh if bounds is None else fresh.join(bounds, group)
-        cols = []
-        for i, (_, seq, _) in enumerate(chains):
-            live = depth <= len(seq) - 1 - depth
-            for side in "lr":
-                name = f"_{side}{i}"
-                cols.append((F.col(f"_n{side}{i}") if live else F.col(name)).alias(name))
-        bounds = merged.select(*group, *cols)
+            is_left, is_right = F.col("hint") == seq[depth], F.col("hint") == seq[-1 - depth]
+            aggs += [F.min(F.when(inside & is_left, F.col("_at"))).alias(f"_nl{i}"),
+                     F.max(F.when(inside & is_right, F.col("_at"))).alias(f"_nr{i}")]
+        if bounds is None:
+            bounds = hints.groupBy(*group).agg(*aggs).withColumnsRenamed(
+                {f"_n{side}{i}": f"_{side}{i}" for i, _ in live for side in "lr"})
+            continue
+        # Only incidents with an outer pair in order, and only the tokens asked for, come back.
+        wanted = sorted({t for _, seq in live for t in (seq[depth], seq[-1 - depth])})
+        open_ = any_of([F.col(f"_l{i}") < F.col(f"_r{i}") for i, _ in live])
+        fresh = (hints.where(F.col("hint").isin(wanted)).join(bounds.where(open_), group)
+                 .groupBy(*group).agg(*aggs))
+        inner = {i for i, _ in live}
+        bounds = bounds.join(fresh, group, "left").select(*group, *[
+            F.col(f"_n{side}{i}" if i in inner else f"_{side}{i}").alias(f"_{side}{i}")
+            for i in range(len(chains)) for side in "lr"])
     options = []
     for i, (name, seq, boost) in enumerate(chains):
         # An even chain ends on two neighbours, an odd one on a single middle token.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import safe_div
+from tracewell.session import broadcast_if_small
 
 SPAN_BUCKET_US = 3_600_000_000
 CROWDED_SPANS = 2_000
@@ -86,7 +87,8 @@ def causal_relabel(df: DataFrame, user: Column, start: Column, end: Column, ts:
 def pod_actor(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Actor behind a pod, else ``pod:<name>``, else ``unknown``."""
     fallback = F.when(F.col("pod") != "", F.concat(F.lit("pod:"), "pod")).otherwise("unknown")
-    return (df.join(mapping.select("pod", F.col("actor").alias("_actor")), "pod", "left")
+    small = broadcast_if_small(mapping.select("pod", F.col("actor").alias("_actor")))
+    return (df.join(small, "pod", "left")
             .withColumn("actor", F.coalesce("_actor", fallback)).drop("_actor"))
 
 

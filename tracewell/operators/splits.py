@@ -15,7 +15,7 @@ from tracewell.operators.partition import (
     running_totals,
     text_buckets,
 )
-from tracewell.session import broadcast_if_small
+from tracewell.session import broadcast_if_small, small_side
 
 
 def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label") -> DataFrame:
@@ -130,7 +130,7 @@ def tool_part(tool: Column, user: Column, session: Column) -> Column:
 
 def identity_split(df: DataFrame, assignment: DataFrame, key: str = "uid") -> DataFrame:
     """Split by an identity -> part table; unlisted identities are held out."""
-    return df.join(assignment, key, "left").withColumn("part", F.coalesce("part", F.lit("ho")))
+    return df.join(broadcast_if_small(assignment), key, "left").withColumn("part", F.coalesce("part", F.lit("ho")))
 
 
 def session_split(df: DataFrame, frac: float = 0.7, session: str = "session") -> DataFrame:
@@ -138,7 +138,7 @@ def session_split(df: DataFrame, frac: float = 0.7, session: str = "session") ->
     ids = df.select(session).distinct()
     pos = running_totals(ids, [F.col(session)], F.floor(F.col(session) / 1024), {"_p": F.lit(1)})
     part = F.when(F.col("_p") <= F.floor(F.col("_p_all") * frac), "train").otherwise("test")
-    return df.join(pos.select(session, part.alias("split")), session)
+    return df.join(small_side(pos.select(session, part.alias("split"))), session)
 
 
 def holdout_file(df: DataFrame, held_out: str | None = None, frac: float = 0.7,
@@ -152,7 +152,7 @@ def holdout_file(df: DataFrame, held_out: str | None = None, frac: float = 0.7,
     ranked = files.select(column, F.when(
         F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(whole) * frac), "train"
     ).otherwise("test").alias("split"))
-    return df.join(ranked, column)
+    return df.join(small_side(ranked), column)
 
 
 def leave_heavy_hitter_out(df: DataFrame, k: int, test_percent: int = 30, seed: int = 42,
@@ -191,21 +191,22 @@ def sample_n(df: DataFrame, n: int, row_id: str = "row_id", seed: int = 42) -> D
     return df.orderBy(hash_order([row_id], seed), row_id).limit(n)
 
 
-def strata_report(eps: DataFrame, profile: str = "profile", split: str = "split") -> DataFrame:
+def strata_report(eps: DataFrame, profile: str = "profile", split: str = "split",
+                  min_recon: int = 4) -> DataFrame:
+    """Episodes per profile and half; ``passes`` when both halves have enough."""
+    least = F.when(F.col(profile) == "recon", min_recon).otherwise(1)
     return eps.groupBy(profile).agg(
         F.count_if(F.col(split) == "train").alias("train_episodes"),
-        F.count_if(F.col(split) == "test").alias("test_episodes"))
+        F.count_if(F.col(split) == "test").alias("test_episodes")
+    ).withColumn("passes", (F.col("train_episodes") > 0) & (F.col("test_episodes") >= least))
 
 
-def assert_strata(report: DataFrame, profiles: list[str], min_recon: int = 4) -> None:
+def assert_strata(report: DataFrame, profiles: list[str]) -> None:
     """Every profile in both halves and enough recon test episodes."""
-    rows = {r["profile"]: r for r in report.where(F.col("profile").isin(profiles)).collect()}
-    missing = [p for p in profiles if p not in rows or not rows[p]["train_episodes"]
-               or not rows[p]["test_episodes"]]
-    if missing:
-        raise ValueError(f"profiles missing from a half: {missing}")
-    if rows["recon"]["test_episodes"] < min_recon:
-        raise ValueError("too few recon test episodes")
+    good = {r["profile"] for r in report.where(
+        F.col("profile").isin(profiles) & F.col("passes")).collect()}
+    if set(profiles) - good:
+        raise ValueError(f"profiles short of episodes in a half: {sorted(set(profiles) - good)}")
 
 
 def oversample(df: DataFrame, cond: Column, times: int = 12) -> DataFrame:

@@ -244,10 +244,16 @@ def ml_fuse_or(spark, sf):
 WEIGHTS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 1.00]
 
 
-@query("ml_weight_sweep")
+@query("ml_weight_sweep", f"""WITH {CAL}, ws AS (SELECT w, label, w * a + (1 - w) * b AS prob FROM cal,
+    (SELECT CAST(UNNEST([{', '.join(map(str, WEIGHTS))}]) AS DOUBLE) AS w)), {Q.points_cte('ws', 'w')},
+  g AS (SELECT w, {Q.AUC} AS roc_auc FROM pts GROUP BY w),
+  r AS (SELECT w, tp / pos AS recall, threshold, row_number() OVER (PARTITION BY w
+    ORDER BY tp DESC, threshold DESC) AS rn FROM pts WHERE fp / neg <= 0.01)
+  SELECT w, recall, threshold, roc_auc FROM r JOIN g USING (w) WHERE rn = 1""",
+       rounded=("threshold", "roc_auc"))
 def ml_weight_sweep(spark, sf):
     return L.weight_sweep(two_scores(spark, sf), "a", "b", WEIGHTS).select(
-        "w", "recall", "threshold", F.round("roc_auc", 9).alias("roc_auc"))
+        "w", "recall", "threshold", "roc_auc")
 
 
 @query("ml_fusion_artifact")

@@ -176,15 +176,15 @@ def novel_windows(spark, sf):
             .select(*df.columns, "novel"))
 
 
-def _rule_query(name):
-    @query(name, f'WITH {RULE_SQL} SELECT part, session, uid, {name} FROM ep')
+def _rule_query(name, column):
+    @query(name, f"WITH {RULE_SQL} SELECT part, session, uid, {column} FROM ep")
     def run(spark, sf):
-        return rule_episodes(spark, sf).select("part", "session", "uid", name)
+        return rule_episodes(spark, sf).select("part", "session", "uid", column)
     return run
 
 
 for _r in [*RU.RULES, "rule_full"]:
-    _rule_query(_r)
+    _rule_query("rule_F" if _r == "rule_f" else _r, _r)
 
 
 @query("actor_ranking", f"""WITH {RULE_SQL} SELECT actor AS "user",

@@ -61,3 +61,8 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to a shuffle."""
     rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side expected to be small: computed once, then broadcast if its size allows."""
+    return broadcast_if_small(materialize(df))
