@@ -25,7 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import sigmoid
-from tracewell.operators.evaluate import auc, confusion, recall_at_fpr, score_points
+from tracewell.operators.evaluate import (
+    auc,
+    auc_columns,
+    confusion,
+    recall_at_fpr,
+    score_points,
+    with_metrics,
+)
 from tracewell.operators.partition import exact_quantiles, unit_bucket
 from tracewell.operators.splits import class_weight
 from tracewell.session import materialize, shared_dir
@@ -84,7 +91,11 @@ def top_importances(imp: DataFrame, k: int = 8) -> DataFrame:
 
 def metrics_row(scored: DataFrame) -> DataFrame:
     """Confusion metrics at 0.5 with ROC area and average precision."""
-    return confusion(scored).join(F.broadcast(auc(score_points(scored))))
+    at = F.col("threshold") >= 0.5
+    total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    return with_metrics(score_points(scored).agg(
+        total("p", at).alias("tp"), total("n", at).alias("fp"), total("n", ~at).alias("tn"),
+        total("p", ~at).alias("fn"), *[c.alias(n) for n, c in auc_columns().items()]))
 
 
 # ---- standardisation and reconstruction error ----------------------------------------------

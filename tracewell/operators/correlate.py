@@ -217,11 +217,12 @@ def alert_volume(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     types = alerts.where(F.col("hint") != "").groupBy("hint").agg(
         F.count(F.lit(1)).alias("value")).select(
         F.concat(F.lit("attack_type:"), "hint").alias("measure"), F.col("value").cast("double"))
-    raw = alerts.agg(F.count(F.lit(1)).alias("raw"))
-    inc = incidents.agg(F.count(F.lit(1)).alias("inc"))
+    both = (alerts.select(F.lit(1).alias("_raw"), F.lit(0).alias("_inc"))
+            .unionByName(incidents.select(F.lit(0).alias("_raw"), F.lit(1).alias("_inc"))))
     ratio = F.bround(1 - F.col("inc") / F.greatest("raw", F.lit(1)), 4)
-    # Two one-row aggregates side by side.
-    head = raw.join(F.broadcast(inc)).select(F.explode(F.array(
+    head = both.agg(
+        F.coalesce(F.sum("_raw"), F.lit(0)).alias("raw"),
+        F.coalesce(F.sum("_inc"), F.lit(0)).alias("inc")).select(F.explode(F.array(
         F.struct(F.lit("raw_alerts").alias("measure"), F.col("raw").cast("double").alias("value")),
         F.struct(F.lit("incidents").alias("measure"), F.col("inc").cast("double").alias("value")),
         F.struct(F.lit("dedup_ratio").alias("measure"), ratio.cast("double").alias("value")),

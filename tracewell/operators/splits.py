@@ -21,11 +21,9 @@ from tracewell.session import broadcast_if_small, small_side
 def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label") -> DataFrame:
     """Sources with most attack rows and their share of all attacks."""
     per = df.where(F.col(label) == 1).groupBy(key).agg(F.count(F.lit(1)).alias("attacks"))
-    total = per.agg(F.sum("attacks").alias("_all"))
-    top = per.orderBy(F.desc("attacks"), key).limit(k)
-    # Both sides are bounded: k rows and one row.
-    return top.join(F.broadcast(total)).select(
-        key, "attacks", (F.col("attacks") / F.col("_all")).alias("share"))
+    total = df.agg(F.count_if(F.col(label) == 1)).first()[0]
+    return per.orderBy(F.desc("attacks"), key).limit(k).select(
+        key, "attacks", (F.col("attacks") / F.lit(max(total, 1))).alias("share"))
 
 
 def vocabulary(tokens: DataFrame, column: str = "token") -> DataFrame:

@@ -9,7 +9,13 @@ from tracewell.operators import evaluate as E
 from tracewell.operators import rules as RU
 from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
-from tracewell.plans.q_windows import TOKENS, scored_windows, token_table, with_category
+from tracewell.plans.q_windows import (
+    TOKENS,
+    scored_table,
+    scored_windows,
+    token_table,
+    with_category,
+)
 from tracewell.plans.registry import query
 
 PTS = Q.PRED_POINTS
@@ -145,7 +151,7 @@ GROUP_SQL = f"""{Q.LABELLED}, ben AS (SELECT prob FROM lab1 WHERE {BENIGN}),
   CASE WHEN tp5 + fp5 = 0 THEN 0 ELSE tp5 / (tp5 + fp5) END AS precision_fpr5
   FROM c JOIN a USING (grp)""")
 def op_group_metrics(spark, sf):
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     benign = df.where((F.col("part") == "test") & (F.col("label") == 0))
     attacks = df.where(F.col("part").isin(GROUPS) & (F.col("label") == 1)).withColumnRenamed(
         "part", "grp")
@@ -195,7 +201,7 @@ _TACTIC = " ".join(f"WHEN part = '{p}' THEN '{t}'" for p, t in K.TACTIC_OF_PART.
     caught / runs FROM tot""")
 def op_run_detection(spark, sf):
     from tracewell.operators.normalize import lookup
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     benign = (F.col("part") == "test") & (F.col("label") == 0)
     tactic = F.when(benign, "BENIGN").when(
         F.col("label") == 1, lookup(K.TACTIC_OF_PART, F.col("part")))

@@ -13,7 +13,7 @@ from tracewell.operators import windows as W
 from tracewell.operators.evaluate import score_points
 from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
-from tracewell.plans.q_windows import _VECS, TOKENS, scored_windows, token_table
+from tracewell.plans.q_windows import _VECS, TOKENS, scored_table, scored_windows, token_table
 from tracewell.plans.registry import query
 
 DAY = 86_400_000_000
@@ -103,7 +103,7 @@ LEAK = f"""{Q.LABELLED}, bad AS (SELECT DISTINCT ROW({_VECS}) AS v FROM lab1 WHE
 @query("join_leak_anti", f"""WITH {LEAK} SELECT audit_id, label FROM lab1 WHERE part = 'train'
   AND (label <> 1 OR ROW({_VECS}) NOT IN (SELECT v FROM bad))""")
 def join_leak_anti(spark, sf):
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     train = df.where(F.col("part") == "train")
     held = df.where(F.col("part").isin(K.HELD_OUT_PARTS))
     return J.leak_anti(train, held, K.EVAL_FEATURES).select("audit_id", "label")
@@ -115,7 +115,7 @@ def join_leak_anti(spark, sf):
     CAST(count(*) FILTER (WHERE v IN (SELECT v FROM tr)) AS BIGINT) AS dup_rows FROM te)
   SELECT *, dup_rows / test_rows AS dup_rate FROM c""")
 def join_overlap_rate(spark, sf):
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     return J.overlap_rate(df.where(F.col("part") == "test"), df.where(F.col("part") == "train"),
                           K.EVAL_FEATURES)
 
@@ -263,8 +263,8 @@ def set_intersect_diff(spark, sf):
     row_number() OVER (ORDER BY us, audit_id) AS rn, count(*) OVER () AS n,
     row_number() OVER (PARTITION BY actor ORDER BY us, audit_id) AS ra,
     count(*) OVER (PARTITION BY actor) AS na FROM audit)
-  SELECT audit_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split,
-    CASE WHEN ra <= floor(na * 0.7) THEN 'train' ELSE 'test' END AS actor_split FROM r""")
+  SELECT audit_id, CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split,
+    CASE WHEN ra <= floor(na * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS actor_split FROM r""")
 def split_time_fraction(spark, sf):
     a = V.audit(spark, sf).select("audit_id", "actor", "us")
     whole = SP.time_fraction(a)
@@ -299,7 +299,7 @@ def split_identity(spark, sf):
 
 @query("split_session", f"""WITH {V.AUDIT}, s AS (SELECT session, row_number() OVER (ORDER BY session) AS rn,
     count(*) OVER () AS n FROM (SELECT DISTINCT session FROM audit))
-  SELECT audit_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split
+  SELECT audit_id, CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
   FROM audit JOIN s USING (session)""")
 def split_session(spark, sf):
     return SP.session_split(V.audit(spark, sf)).select("audit_id", "split")
@@ -307,7 +307,7 @@ def split_session(spark, sf):
 
 @query("split_holdout_file", f"""WITH {V.FLOW}, f AS (SELECT source_file, row_number() OVER (
     ORDER BY source_file) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source_file FROM flow))
-  SELECT row_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split,
+  SELECT row_id, CASE WHEN rn <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split,
     CASE WHEN source_file = 'day3.csv' THEN 'test' ELSE 'train' END AS day_split
   FROM flow JOIN f USING (source_file)""")
 def split_holdout_file(spark, sf):
@@ -326,8 +326,8 @@ def split_lho(spark, sf):
         F.count_if((F.col("label") == 1) & (F.col("split") == "test")).alias("heavy_test"))
 
 
-@query("split_stratified", f"""WITH {FLAB} SELECT y AS label, CAST(floor(count(*) * 0.8) AS BIGINT) AS train,
-  CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS test FROM fl GROUP BY y""")
+@query("split_stratified", f"""WITH {FLAB} SELECT y AS label, CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS train,
+  CAST(count(*) - floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS test FROM fl GROUP BY y""")
 def split_stratified(spark, sf):
     return SP.stratified_split(labelled_flows(spark, sf)).groupBy("label").agg(
         F.count_if(F.col("split") == "train").alias("train"),

@@ -19,7 +19,7 @@ from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
 from tracewell.plans.q_windows import scored_windows, token_table
 from tracewell.plans.registry import query
-from tracewell.session import materialize, scratch_path
+from tracewell.session import materialize, scratch_path, written_table
 
 FEATS = K.EVAL_FEATURES
 TREES = 10
@@ -34,7 +34,7 @@ def train_table(df):
 
 
 def prepared(spark, sf):
-    return materialize(scored_windows(spark, sf).drop("prob"))
+    return written_table(scored_windows(spark, sf).drop("prob"), "windows")
 
 
 def fitted(spark, sf, trees: int = TREES):

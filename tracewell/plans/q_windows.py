@@ -16,6 +16,7 @@ from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
 from tracewell.plans.q_sources import SYSCALL, labelled_features, syscall_lines
 from tracewell.plans.registry import query
+from tracewell.session import written_table
 from tracewell.sources.readers import parse_syscall_lines
 
 
@@ -33,6 +34,11 @@ def scored_windows(spark, sf):
         "part": tool_part(F.col("tool"), F.col("user"), F.col("session"))})
 
 
+def scored_table(spark, sf):
+    """The scored windows as a written table, for queries that branch over them."""
+    return written_table(scored_windows(spark, sf), "windows")
+
+
 def with_category(df):
     return df.withColumn("category", category_label(F.col("part"), F.col("label"), F.col("user")))
 
@@ -161,13 +167,13 @@ RULE_SQL = f"""{Q.LABELLED}, known AS (SELECT DISTINCT actor FROM lab1 WHERE lab
 
 
 def rule_episodes(spark, sf):
-    return RU.episode_rules(novel_windows(spark, sf))
+    return RU.episode_rules(written_table(novel_windows(spark, sf), "novel"))
 
 
 def novel_windows(spark, sf):
     """Scored windows flagged ``novel`` when no train attack has the same vector."""
     from tracewell.operators.joins import vector_columns, vector_keys
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     keys = vector_keys(K.EVAL_FEATURES)
     vec = vector_columns(df, K.EVAL_FEATURES)
     seen = (vec.where((F.col("part") == "train") & (F.col("label") == 1)).select(*keys).distinct()
@@ -355,7 +361,7 @@ TRAJ = f"""{RULE_SQL}, tr AS (SELECT part, session, uid,
 
 def distinct_episodes(spark, sf):
     """Categorised episodes with identical trajectories collapsed."""
-    windows = novel_windows(spark, sf)
+    windows = written_table(novel_windows(spark, sf), "novel")
     eps = with_category(RU.episode_rules(windows)).where(F.col("category").isNotNull())
     sig = A.trajectory_signature(windows, K.EVAL_FEATURES)
     return A.distinct_trajectories(eps.join(sig, A.EPISODE))
@@ -482,7 +488,7 @@ def agg_diversity(spark, sf):
 @query("join_novel_anti", f"""WITH {RULE_SQL} SELECT audit_id, part FROM lab
   WHERE novel AND part NOT IN ('train', 'drop')""")
 def join_novel_anti(spark, sf):
-    df = scored_windows(spark, sf)
+    df = scored_table(spark, sf)
     train = df.where(F.col("part") == "train")
     ev = df.where(~F.col("part").isin("train", "drop"))
     return novel_anti(ev, train, K.EVAL_FEATURES).select("audit_id", "part")

@@ -112,38 +112,50 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(table(spark, sf_dir, "lineitem"), FLOW_COLUMNS, ["l_shipdate"])
 
 
-# Audit events as one JSON document per row, with repeated ids, blanks and unreadable lines.
-JSON_LINE = """concat('{"auditID":"', CASE WHEN k % 19 = 0 THEN '' ELSE CAST(audit_id AS STRING) END,
- '","verb":"', verb, '","user":{"username":"', actor, '","groups":["g', CAST(k % 3 AS STRING),
- '","all"]},"impersonatedUser":{"username":"', imp, '"},"objectRef":{"resource":"', resource,
- '","subresource":"', sub, '","namespace":"', ns, '","name":"n', CAST(k AS STRING),
- '","apiGroup":"g', CAST(k % 2 AS STRING),
- '"},"responseStatus":{"code":', CAST(code AS STRING),
- '},"annotations":{"authorization.k8s.io/decision":"', decision,
- '"},"sourceIPs":["', source_ip, '"],"userAgent":"kubectl","requestURI":"/api/', resource,
- '","stage":"ResponseComplete","requestReceivedTimestamp":"', stamp,
- '","requestObject":', CASE WHEN k % 3 = 0 THEN concat('{"kind":"Pod","spec":{"hostPID":',
-   CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, ',"hostNetwork":',
-   CASE WHEN k % 5 = 0 THEN 'true' ELSE 'false' END,
-   ',"volumes":[{"name":"v"', CASE WHEN k % 4 = 0 THEN ',"hostPath":{"path":"/"}' ELSE '' END,
-   '}],"containers":[{"name":"c","securityContext":{"privileged":',
-   CASE WHEN k % 7 = 0 THEN 'true' ELSE 'false' END, '}}]}}')
-   WHEN k % 3 = 1 THEN concat('{"kind":"', CASE WHEN k % 2 = 0 THEN 'ClusterRole' ELSE 'Thing' END,
-   '","rules":[{"verbs":["', CASE WHEN k % 5 = 0 THEN '*' ELSE 'get' END,
-   '"],"resources":["pods"]}]}') ELSE 'null' END, '}')"""
+def _json_line():
+    """An audit event document; repeated blanks of the id and three kinds of request body."""
+    k, c = F.col("k"), F.col
+    text = lambda x: x.cast("string")
+    pod = F.struct(
+        (k % 2 == 0).alias("hostPID"), (k % 5 == 0).alias("hostNetwork"),
+        F.array(F.struct(F.lit("v").alias("name"), F.when(
+            k % 4 == 0, F.struct(F.lit("/").alias("path"))).alias("hostPath"))).alias("volumes"),
+        F.array(F.struct(F.lit("c").alias("name"), F.struct(
+            (k % 7 == 0).alias("privileged")).alias("securityContext"))).alias("containers"))
+    rules = F.array(F.struct(F.array(F.when(k % 5 == 0, "*").otherwise("get")).alias("verbs"),
+                             F.array(F.lit("pods")).alias("resources")))
+    body = F.when(k % 3 < 2, F.struct(
+        F.when(k % 3 == 0, "Pod").when(k % 2 == 0, "ClusterRole").otherwise("Thing").alias("kind"),
+        F.when(k % 3 == 0, pod).alias("spec"), F.when(k % 3 == 1, rules).alias("rules")))
+    return F.to_json(F.struct(
+        F.when(k % 19 == 0, "").otherwise(text(c("audit_id"))).alias("auditID"), "verb",
+        F.struct(c("actor").alias("username"),
+                 F.array(F.concat(F.lit("g"), text(k % 3)), F.lit("all")).alias("groups")).alias("user"),
+        F.struct(c("imp").alias("username")).alias("impersonatedUser"),
+        F.struct("resource", c("sub").alias("subresource"), c("ns").alias("namespace"),
+                 F.concat(F.lit("n"), text(k)).alias("name"),
+                 F.concat(F.lit("g"), text(k % 2)).alias("apiGroup")).alias("objectRef"),
+        F.struct("code").alias("responseStatus"),
+        F.create_map(F.lit("authorization.k8s.io/decision"), c("decision")).alias("annotations"),
+        F.array("source_ip").alias("sourceIPs"), F.lit("kubectl").alias("userAgent"),
+        F.concat(F.lit("/api/"), c("resource")).alias("requestURI"),
+        F.lit("ResponseComplete").alias("stage"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("requestReceivedTimestamp"),
+        body.alias("requestObject")))
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-store rows: time, category and JSON text. One in eleven is sent twice."""
-    df = audit(spark, sf_dir).withColumn(
-        "stamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    df = df.selectExpr(
-        "ts AS time_generated", "us", "audit_id AS seq", "k",
-        "CASE WHEN k % 2 = 0 THEN 'kube-audit' WHEN k % 23 = 1 THEN 'other' "
-        "ELSE 'kube-audit-admin' END AS category",
-        f"CASE WHEN k % 29 = 0 THEN '{{\"auditID\": broken' WHEN k % 31 = 0 THEN '  ' "
-        f"ELSE {JSON_LINE} END AS log_s")
-    copies = F.when(F.col("k") % 11 == 0, 2).otherwise(1)
+    """Log-store rows: time, category and JSON text.
+
+    One in eleven is sent twice; some lines are unreadable and some are blank.
+    """
+    k = F.col("k")
+    line = F.when(k % 29 == 0, '{"auditID": broken').when(k % 31 == 0, "  ").otherwise(_json_line())
+    df = audit(spark, sf_dir).select(
+        F.col("ts").alias("time_generated"), "us", F.col("audit_id").alias("seq"), "k",
+        F.when(k % 2 == 0, "kube-audit").when(k % 23 == 1, "other")
+        .otherwise("kube-audit-admin").alias("category"), line.alias("log_s"))
+    copies = F.when(k % 11 == 0, 2).otherwise(1)
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
 
 

@@ -57,6 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the shared folder and read back, for a table that several branches use.
+
+    Unlike a checkpoint the result is columnar: each branch reads only its columns and filters.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to a shuffle."""
     rows = df.limit(limit + 1).count()

@@ -84,10 +84,9 @@ class ActorHistory:
             *[F.sum(f"cum_{c}").alias(f"cum_{c}") for c in W.CUMULATIVE],
             F.max("last_us").alias("last_us"))
         if self.idle_us is not None:
-            now = new.agg(F.max("us").alias("_now"))
-            sums = sums.join(F.broadcast(now)).where(
-                F.col("_now").isNull() | (F.col("last_us") > F.col("_now") - self.idle_us)
-            ).drop("_now")
+            now = new.agg(F.max("us")).first()[0]
+            if now is not None:
+                sums = sums.where(F.col("last_us") > now - self.idle_us)
             tail = tail.join(sums.select(*self.keys), self.keys, "left_semi")
         self.tail.write(tail, batch_id)
         self.sums.write(sums, batch_id)
