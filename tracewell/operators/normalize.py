@@ -112,15 +112,20 @@ def run_start_counts(df: DataFrame, start: Column, ts: str = "ts") -> DataFrame:
 def dedup_id(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per id in the given order; rows without an id are all kept.
 
-    The minimum is combined map-side, so an id repeated very often costs one row per task in the
-    shuffle. Blank ids never enter the grouping.
+    One pass and one shuffle. The first row is found by a map-side combined minimum, so an id
+    repeated very often costs one row per task. A row without an id is its own group, so the blank
+    key spreads over all tasks; exact copies are counted and written out again.
     """
     rest = [c for c in df.columns if c not in (key, *order)]
-    with_id = F.coalesce(F.col(key), F.lit("")) != ""
-    first = (df.where(with_id).groupBy(key)
-             .agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_r"))
-             .select(key, "_r.*").select(*df.columns))
-    return first.unionByName(df.where(~with_id))
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    row = F.struct(*order, *rest)
+    groups = df.groupBy(key, F.when(blank, row).alias("_own")).agg(
+        F.min_by(F.when(~blank, row), F.struct(*order)).alias("_first"),
+        F.count(F.lit(1)).alias("_n"))
+    copies = F.when(F.col("_own").isNotNull(), F.col("_n")).otherwise(1)
+    out = groups.select(key, F.coalesce("_own", "_first").alias("_r"),
+                        F.explode(F.sequence(F.lit(1), copies)).alias("_i"))
+    return out.select(key, "_r.*").select(*df.columns)
 
 
 def tool_label(user: Column) -> Column:

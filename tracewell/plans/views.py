@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores over all cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # One identity per user, cycling over attack tools, controllers and people.
 ACTOR_STEM = "|".join([
     "adversary-escv-", "redteam-stratus-", "system:serviceaccount:kube-system:c", "ci-deployer",
@@ -85,8 +91,9 @@ def _derive(base: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFr
     return base.selectExpr(*keep, *[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "events")
+def events(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    base = table(spark, sf_dir, "events")
+    return ((spread(base) if spread_out else base)
             .withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("us", F.unix_micros("ts"))
             .withColumn("k", F.expr(K_INT)))
@@ -151,7 +158,7 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("k")
     line = F.when(k % 29 == 0, '{"auditID": broken').when(k % 31 == 0, "  ").otherwise(_json_line())
-    df = audit(spark, sf_dir).select(
+    df = audit_from(events(spark, sf_dir, spread_out=True)).select(
         F.col("ts").alias("time_generated"), "us", F.col("audit_id").alias("seq"), "k",
         F.when(k % 2 == 0, "kube-audit").when(k % 23 == 1, "other")
         .otherwise("kube-audit-admin").alias("category"), line.alias("log_s"))
