@@ -10,6 +10,7 @@ from tracewell.operators import monitor as M
 from tracewell.operators.splits import halves
 from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
+from tracewell.plans.q_joins import known_attackers
 from tracewell.plans.q_sources import SYSCALL, syscall_lines
 from tracewell.plans.registry import query
 from tracewell.session import materialize, scratch_path
@@ -154,7 +155,7 @@ def inc_severity(spark, sf):
     return incidents(spark, sf).select("actor", "start_us", "severity", "chain_matched")
 
 
-@query("inc_score", f"""WITH {FINAL}, t AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND k < 2),
+@query("inc_score", f"""WITH {FINAL}, t AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND attack_type = 'discovery' AND prob >= 0.8),
   f AS (SELECT DISTINCT actor FROM fin),
   c AS (SELECT CAST(count(*) FILTER (WHERE t.actor IS NOT NULL AND f.actor IS NOT NULL) AS BIGINT) AS tp,
     CAST(count(*) FILTER (WHERE t.actor IS NULL) AS BIGINT) AS fp,
@@ -165,7 +166,7 @@ def inc_severity(spark, sf):
     round_even(tp / greatest(tp + fn, 1), 4) AS recall,
     round_even(incidents_with_attack / greatest(incidents, 1), 4) AS incident_precision FROM c, i""")
 def inc_score(spark, sf):
-    truth = V.predictions(spark, sf).where((F.col("label") == 1) & (F.col("k") < 2))
+    truth = V.predictions(spark, sf).where(known_attackers())
     return C.score_incidents(incidents(spark, sf), truth)
 
 

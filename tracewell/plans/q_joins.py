@@ -78,13 +78,13 @@ def join_causal_relabel(spark, sf):
 @query("join_pod_actor", f"""WITH {V.AUDIT}, p AS (SELECT audit_id, CASE WHEN k % 4 = 0 THEN ''
     ELSE concat('pod-', CAST(user_id % 12 AS VARCHAR)) END AS pod FROM audit),
   m AS (SELECT concat('pod-', CAST(user_id % 12 AS VARCHAR)) AS pod, min(actor) AS actor FROM audit
-    WHERE user_id % 12 < 6 GROUP BY 1)
+    WHERE contains(actor, 'rakkess') GROUP BY 1)
   SELECT audit_id, coalesce(m.actor, CASE WHEN p.pod <> '' THEN concat('pod:', p.pod) ELSE 'unknown' END)
     AS actor FROM p LEFT JOIN m ON p.pod = m.pod""")
 def join_pod_actor(spark, sf):
     a = V.audit(spark, sf)
     pod = F.concat(F.lit("pod-"), (F.col("user_id") % 12).cast("string"))
-    mapping = a.where(F.col("user_id") % 12 < 6).groupBy(pod.alias("pod")).agg(
+    mapping = a.where(F.col("actor").contains("rakkess")).groupBy(pod.alias("pod")).agg(
         F.min("actor").alias("actor"))
     rows = a.select("audit_id", F.when(F.col("k") % 4 == 0, "").otherwise(pod).alias("pod"))
     return J.pod_actor(rows, mapping).select("audit_id", "actor")
@@ -143,8 +143,9 @@ def op_topk_sources(spark, sf):
     return SP.topk_sources(labelled_flows(spark, sf), 3)
 
 
-@query("join_positional", f"""WITH {V.PRED}, b AS (SELECT row_id, CASE WHEN k % 50 = 3 THEN 1 - label
-    ELSE label END AS label FROM pred WHERE k % 40 <> 7)
+@query("join_positional", f"""WITH {V.PRED}, b AS (SELECT row_id, CASE WHEN attack_type = 'discovery'
+    AND prob >= 0.7 THEN 1 - label ELSE label END AS label FROM pred
+    WHERE component <> 'c2' OR prob < 0.75)
   SELECT CAST(count(*) FILTER (WHERE b.row_id IS NOT NULL) AS BIGINT) AS matched,
     CAST(count(*) FILTER (WHERE b.row_id IS NULL) AS BIGINT) AS left_only,
     CAST(0 AS BIGINT) AS right_only,
@@ -152,13 +153,19 @@ def op_topk_sources(spark, sf):
   FROM pred p LEFT JOIN b ON p.row_id = b.row_id""")
 def join_positional(spark, sf):
     p = V.predictions(spark, sf)
-    other = p.where(F.col("k") % 40 != 7).withColumn(
-        "label", F.when(F.col("k") % 50 == 3, 1 - F.col("label")).otherwise(F.col("label")))
+    flip = (F.col("attack_type") == "discovery") & (F.col("prob") >= 0.7)
+    other = p.where((F.col("component") != "c2") | (F.col("prob") < 0.75)).withColumn(
+        "label", F.when(flip, 1 - F.col("label")).otherwise(F.col("label")))
     return J.alignment_report(p, other)
 
 
-@query("join_actor_sets", f"""WITH {V.PRED}, t AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND k < 2),
-  f AS (SELECT DISTINCT actor FROM pred WHERE prob >= 0.8 AND k > 93),
+def known_attackers():
+    """Rows that make their actor an attacker in the set queries."""
+    return ((F.col("label") == 1) & (F.col("attack_type") == "discovery") & (F.col("prob") >= 0.8))
+
+
+@query("join_actor_sets", f"""WITH {V.PRED}, t AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND attack_type = 'discovery' AND prob >= 0.8),
+  f AS (SELECT DISTINCT actor FROM pred WHERE prob >= 0.85),
   c AS (SELECT CAST(count(*) FILTER (WHERE t.actor IS NOT NULL AND f.actor IS NOT NULL) AS BIGINT) AS tp,
     CAST(count(*) FILTER (WHERE t.actor IS NULL) AS BIGINT) AS fp,
     CAST(count(*) FILTER (WHERE f.actor IS NULL) AS BIGINT) AS fn
@@ -167,8 +174,8 @@ def join_positional(spark, sf):
     round_even(tp / greatest(tp + fn, 1), 4) AS recall FROM c""")
 def join_actor_sets(spark, sf):
     p = V.predictions(spark, sf)
-    return J.actor_sets(p.where((F.col("label") == 1) & (F.col("k") < 2)),
-                        p.where((F.col("prob") >= 0.8) & (F.col("k") > 93)))
+    return J.actor_sets(p.where(known_attackers()),
+                        p.where(F.col("prob") >= 0.85))
 
 
 @query("join_two_planes", f"""WITH {V.PRED} SELECT row_id AS seq, actor, 'audit' AS plane, NULL AS pod
@@ -208,14 +215,14 @@ def op_vocab(spark, sf):
     return SP.vocabulary(V.audit(spark, sf).select(W.token_column().alias("token")))
 
 
-@query("op_encode_tokens", f"""WITH {TOKENS}, {VOCAB.format(where=' WHERE k < 8')},
+@query("op_encode_tokens", f"""WITH {TOKENS}, {VOCAB.format(where=" WHERE decision = 'allow'")},
   p AS (SELECT audit_id, list_concat(list_transform(range(20 - len(tokens)), lambda x: '<PAD>'), tokens) AS l
     FROM tk), e AS (SELECT audit_id, i, l[i] AS token FROM p, UNNEST(range(1, 21)) AS u(i))
   SELECT audit_id, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ' ' ORDER BY i) AS ids
   FROM e LEFT JOIN vocab USING (token) GROUP BY audit_id""")
 def op_encode_tokens(spark, sf):
     a = V.audit(spark, sf)
-    vocab = SP.vocabulary(a.where(F.col("k") < 8).select(W.token_column().alias("token")))
+    vocab = SP.vocabulary(a.where(F.col("decision") == "allow").select(W.token_column().alias("token")))
     out = SP.encode_tokens(token_table(spark, sf), vocab, ["audit_id"])
     return out.select("audit_id", F.array_join(F.transform(
         "token_ids", lambda x: x.cast("string")), " ").alias("ids"))
@@ -247,14 +254,14 @@ def set_union_sources(spark, sf):
     return SP.union_sources(df.select("row_id", "src_ip"), df.select("row_id", "dst_ip"))
 
 
-@query("set_intersect_diff", f"""WITH {V.PRED}, a AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND k < 2),
-  b AS (SELECT DISTINCT actor FROM pred WHERE prob >= 0.8 AND k > 93)
+@query("set_intersect_diff", f"""WITH {V.PRED}, a AS (SELECT DISTINCT actor FROM pred WHERE label = 1 AND attack_type = 'discovery' AND prob >= 0.8),
+  b AS (SELECT DISTINCT actor FROM pred WHERE prob >= 0.85)
   SELECT coalesce(a.actor, b.actor) AS actor, CASE WHEN b.actor IS NULL THEN 'left'
     WHEN a.actor IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.actor = b.actor""")
 def set_intersect_diff(spark, sf):
     p = V.predictions(spark, sf)
-    return SP.intersect_diff(p.where((F.col("label") == 1) & (F.col("k") < 2)).select("actor"),
-                             p.where((F.col("prob") >= 0.8) & (F.col("k") > 93)).select("actor"))
+    return SP.intersect_diff(p.where(known_attackers()).select("actor"),
+                             p.where(F.col("prob") >= 0.85).select("actor"))
 
 
 # ---- splits and samples ---------------------------------------------------------------------

@@ -467,12 +467,12 @@ def agg_window_eval(spark, sf):
 
 @query("agg_unknown_tokens", f"""WITH {TOKENS}, x AS (SELECT DISTINCT audit_id, UNNEST(tokens) AS token
     FROM tk), vocab AS (SELECT DISTINCT concat(verb, ':', resource, ':', sub) AS token FROM audit
-    WHERE k < 8)
+    WHERE decision = 'allow')
   SELECT token, CAST(count(*) AS BIGINT) AS windows FROM x
   WHERE token NOT IN (SELECT token FROM vocab) GROUP BY token""")
 def agg_unknown_tokens(spark, sf):
     a = V.audit(spark, sf)
-    vocab = a.where(F.col("k") < 8).select(W.token_column().alias("token")).distinct()
+    vocab = a.where(F.col("decision") == "allow").select(W.token_column().alias("token")).distinct()
     return A.unknown_tokens(W.token_windows(a), vocab)
 
 
