@@ -158,12 +158,13 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("k")
     line = F.when(k % 29 == 0, '{"auditID": broken').when(k % 31 == 0, "  ").otherwise(_json_line())
-    df = audit_from(events(spark, sf_dir, spread_out=True)).select(
+    # The text comes out of a generator, so filters on it do not move below and build it again.
+    copies = F.when(k % 11 == 0, 2).otherwise(1)
+    return audit_from(events(spark, sf_dir, spread_out=True)).select(
         F.col("ts").alias("time_generated"), "us", F.col("audit_id").alias("seq"), "k",
         F.when(k % 2 == 0, "kube-audit").when(k % 23 == 1, "other")
-        .otherwise("kube-audit-admin").alias("category"), line.alias("log_s"))
-    copies = F.when(k % 11 == 0, 2).otherwise(1)
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        .otherwise("kube-audit-admin").alias("category"),
+        F.posexplode(F.array_repeat(line, copies)).alias("copy", "log_s"))
 
 
 # ---- the same views for the SQL side --------------------------------------------------------

@@ -14,9 +14,10 @@ def parse_json_lines(lines: DataFrame, column: str, schema: T.StructType, name:
                      ) -> DataFrame:
     """Skip blank lines; add the parsed struct and ``_bad`` for lines that do not parse."""
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = lines.where(F.trim(column) != "").withColumn(
-        name, F.from_json(F.col(column), with_bad,
-                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    event = F.from_json(F.col(column), with_bad,
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # A filter on the parsed struct is not pushed below a generator, so each line is parsed once.
+    parsed = lines.where(F.trim(column) != "").withColumn(name, F.explode(F.array(event)))
     return parsed.withColumn("_bad", F.col(f"{name}._corrupt").isNotNull())
 
 
