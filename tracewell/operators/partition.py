@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import broadcast_if_small, materialize
+from tracewell.session import broadcast_if_small, materialize, written_table
 
 CHUNK_ROWS = 1_000_000
 BUCKET_US = 60_000_000
@@ -131,6 +131,26 @@ def running_totals(
     return out.drop(*levels, *[f"_base_{t}" for t in totals])
 
 
+def range_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """Running sums over a global order, whatever the values look like.
+
+    The rows are dealt out by sampled range borders and written once; the sums of whole partitions
+    (one row per partition) give each partition its base. No partition is crowded as long as
+    ``order`` ends in columns that tell equal values apart. Adds ``<total>`` (inclusive).
+    """
+    ranged = written_table(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    per = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{t}") for t, c in totals.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select("_part", *[F.coalesce(F.sum(f"_s_{t}").over(before), F.lit(0)).alias(
+        f"_base_{t}") for t in totals])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(base), "_part").withColumns(
+        {t: F.sum(c).over(inside) + F.col(f"_base_{t}") for t, c in totals.items()})
+    return out.drop("_part", *[f"_base_{t}" for t in totals])
+
+
 def unit_bucket(score: Column, buckets: int = 65536) -> Column:
     """Bucket of a score in [0, 1], even in log-odds.
 
