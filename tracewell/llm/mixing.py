@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.words import word_count
 from tracewell.operators.partition import range_totals
 from tracewell.session import broadcast_if_small, written_table
 
@@ -101,3 +102,15 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: Column, weights=WEIGHTS
         placed["doc_id"], placed["source"], placed["size"], "n", "source_size", "target",
         F.coalesce("copies", F.lit(0)).alias("copies"),
         (placed["size"] * F.coalesce("copies", F.lit(0))).alias("taken"))
+
+
+def take_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+             **kw) -> DataFrame:
+    """The documents that the mix takes, with all their columns and ``copies``, how often each goes in."""
+    out = mix(docs, doc_id, source, word_count(F.col(text)), **kw).where(F.col("copies") > 0)
+    taken = out.select(F.struct("doc_id", "source", "size").alias("key"), "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size")).alias("key"))
+    kept = rows.join(taken, rows["key"].eqNullSafe(taken["key"]))
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copies"], "copies")
