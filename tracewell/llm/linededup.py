@@ -13,8 +13,8 @@ shortest parts with enough words: from every line forward and from every line ba
 lines that hold ``min_words`` words. So these two prefixes per line are looked up, forward ones
 among suffixes, backward ones among the mirrored suffixes. The first copy of a line never goes.
 
-Defined results: null texts and texts without repeated runs stay as they are; blank lines inside a
-deleted run go with it; a null id sorts before all others; rows that share an id count as one
+Defined results: null texts and texts without repeated runs stay as they are; blank lines between
+deleted lines go with them; a null id sorts before all others; rows that share an id count as one
 document, so equal lines at equal places of both stay; ids are integers; an empty table gives no rows.
 
 Hot runs: names are counted with map-side combination and joined back on the name; no group is
@@ -55,7 +55,8 @@ def _lines(text: Column) -> Column:
 
 
 def run_names(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id``, ``text_hash``, and per line up to two rows: ``way``, ``name``, ``at``, line numbers."""
+    """``id``, ``text_hash``, and per line up to two rows: ``way``, ``name``, the places ``at`` to
+    ``end`` among lines with words, and the line numbers there."""
     levels = max(1, min_words.bit_length())
     rows = _held(
         docs.select("id", "text_hash", "text").where(F.col("text").isNotNull()),
@@ -100,7 +101,7 @@ def run_names(docs: DataFrame, min_words: int) -> DataFrame:
     rows = _held(rows, spans=spans).drop("ahead", "back")
     named = F.transform("spans", lambda s: F.struct(
         s["way"].alias("way"), _name(ranks, s["at"], s["len"]).alias("name"), s["at"].alias("at"),
-        F.get("n", s["at"]).alias("first_line"), F.get("n", s["at"] + s["len"] - 1).alias("last_line")))
+        (s["at"] + s["len"] - 1).alias("end"), F.get("n", s["at"]).alias("first_line"), F.get("n", s["at"] + s["len"] - 1).alias("last_line")))
     return rows.select("id", "text_hash", F.inline(named))
 
 
@@ -113,11 +114,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                               F.max("place").alias("last_place"))
               .where(F.col("first_place") < F.col("last_place")).drop("last_place"))
     later = runs.join(firsts, ["way", "name"]).where(F.col("place") > F.col("first_place"))
-    by_line = Window.partitionBy("id", "text_hash").orderBy("first_line", "last_line")
-    seen = F.max("last_line").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    by_line = Window.partitionBy("id", "text_hash").orderBy("at", "end")
+    seen = F.max("end").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
     marked = (
-        later.select("id", "text_hash", "first_line", "last_line")
-        .withColumn("opens", F.coalesce(F.col("first_line") > seen + 1, F.lit(True)).cast("int"))
+        later.select("id", "text_hash", "at", "end", "first_line", "last_line")
+        .withColumn("opens", F.coalesce(F.col("at") > seen + 1, F.lit(True)).cast("int"))
         .withColumn("stretch", F.sum("opens").over(by_line)))
     return (
         marked.groupBy("id", "text_hash", "stretch")

@@ -28,10 +28,20 @@ later AS (
 gone AS (
   SELECT DISTINCT l.doc_id, l.n FROM lines l JOIN later r
     ON l.doc_id = r.doc_id AND l.n BETWEEN r.first_line AND r.last_line),
+marked AS (
+  SELECT l.*, w > 0 AS worded, w > 0 AND g.n IS NOT NULL AS out
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n),
+around AS (
+  SELECT *, CASE WHEN worded THEN out ELSE
+    coalesce(last_value(CASE WHEN worded THEN out END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+    AND coalesce(first_value(CASE WHEN worded THEN out END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) END AS goes
+  FROM marked),
 kept AS (
-  SELECT l.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS text,
-    count(g.n) AS lines_removed
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id)
+  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (NOT goes), '') AS text,
+    count(*) FILTER (goes) AS lines_removed
+  FROM around GROUP BY doc_id)
 SELECT doc_id, k.text, coalesce(lines_removed, 0) AS lines_removed
 FROM documents LEFT JOIN kept k USING (doc_id)
 """
