@@ -119,6 +119,9 @@ class Automaton:
             probability = counts[m] / (seen_before + prior) + back * probability[block.suffix[m]]
             self.arc.append(np.log10(probability))
             self.fail.append(np.log10(back))
+        # The last place answers for tokens at which no gram of the order ends (number -1).
+        self.arc, self.fail = [[np.append(x, 0.0) for x in y] for y in (self.arc, self.fail)]
+        self.seen = [np.append(c > 0, False) for c in counts]
 
     def score(self, doc: int) -> tuple[int, int, float, float]:
         """Tokens, known tokens, base score and score of a document, in one pass."""
@@ -130,7 +133,7 @@ class Automaton:
         seen, arc, fail = [], [], []
         for m in range(order):
             grams = block.at[m][span]
-            seen.append((self.counts[m][grams] > 0).tolist())
+            seen.append(self.seen[m][grams].tolist())
             arc.append(self.arc[m][grams].tolist())
             fail.append(self.fail[m][grams].tolist())
         start = block.at[0][int(block.begins[doc])]
