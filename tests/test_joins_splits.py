@@ -8,26 +8,42 @@ from tracewell.operators import normalize as N
 from tracewell.operators import splits as SP
 
 
-@pytest.mark.parametrize("crowded", [2000, 1])
+@pytest.mark.parametrize("crowded", [2000, 8, 0])
 @pytest.mark.parametrize("system_too", [True, False])
 def test_first_interval_wins(spark, crowded, system_too):
     rng = random.Random(7)
     spans = [(i, s, s + rng.randrange(5000), f"v{i % 4}") for i, s in
              enumerate(rng.randrange(100_000) for _ in range(60))]
+    spans += [(100 + i, 40_000 + i % 7, 40_900 + i % 5, "crowd") for i in range(300)]
     events = [(i, rng.randrange(110_000), rng.choice(["u", "system:x"])) for i in range(400)]
     events += [(1000 + i, s[1], "u") for i, s in enumerate(spans)]
     events += [(2000 + i, s[2], "u") for i, s in enumerate(spans)]
+    # Blank, null and repeated ids, and a null time.
+    events += [(None, us, "u") for us in range(0, 100_000, 997)] + [(7, us, "u") for us in range(0, 100_000, 1009)]
+    events += [(5000, None, "u")]
     ev = spark.createDataFrame(events, "audit_id int, us bigint, actor string")
     sp = spark.createDataFrame(spans, "pos int, start_us bigint, end_us bigint, v string")
     applies = None if system_too else ~F.col("actor").startswith("system:")
-    got = {r["audit_id"]: r["hit"] for r in J.first_match_interval(
-        ev, sp, {"hit": F.col("v")}, bucket_us=1000, applies=applies, crowded=crowded).collect()}
-    assert len(got) == len(events)
-    for i, us, actor in events:
-        want = next((v for _, s, e, v in spans if s <= us <= e), None)
-        if not system_too and actor.startswith("system:"):
-            want = None
-        assert got[i] == want
+    got = J.first_match_interval(
+        ev, sp, {"hit": F.col("v")}, bucket_us=1000, applies=applies, crowded=crowded).collect()
+
+    def want(us, actor):
+        if us is None or (not system_too and actor.startswith("system:")):
+            return None
+        return next((v for _, s, e, v in spans if s <= us <= e), None)
+
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(((*e, want(e[1], e[2])) for e in events), key=key)
+
+
+@pytest.mark.parametrize("literal_rows", [1000, 0])
+def test_token_codes_keep_every_row(spark, literal_rows):
+    rows = [(1, ["a", "b", "zz"]), (1, ["b"]), (None, ["a"]), (2, []), (3, None), (1, ["b"]), (4, [None, "a"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id bigint")
+    got = [tuple(r) for r in SP.encode_tokens(df, vocab, ["id"], literal_rows=literal_rows).collect()]
+    codes = {"a": 2, "b": 3}
+    assert sorted(map(str, got)) == sorted(str((i, t if t is None else [codes.get(x, 1) for x in t])) for i, t in rows)
 
 
 def test_second_truncation_reaches_the_closing_bound(spark):

@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import safe_div
-from tracewell.session import broadcast_if_small
+from tracewell.session import broadcast_if_small, materialize
 
 SPAN_BUCKET_US = 3_600_000_000
-CROWDED_SPANS = 2_000
+CROWDED_SPANS = 64
 
 
 def first_match_interval(
     events: DataFrame, spans: DataFrame, value: dict[str, Column], us: str = "us",
-    *, event_id: str = "audit_id", bucket_us: int = SPAN_BUCKET_US, applies: Column | None = None,
-    crowded: int = CROWDED_SPANS,
+    *, bucket_us: int = SPAN_BUCKET_US, applies: Column | None = None, crowded: int = CROWDED_SPANS,
 ) -> DataFrame:
     """Left join of each event to the first interval (lowest ``pos``) with start <= time <= end.
 
-    ``spans`` has ``start_us``, ``end_us`` and ``pos``. Intervals are laid over time buckets, so
-    the join is an equi-join on the bucket, not a nested loop. While no bucket holds more than
-    ``crowded`` intervals they travel as one array per bucket and every event meets one row. Past
-    that they stay rows, and the lowest position is taken per event.
+    ``spans`` has ``start_us``, ``end_us`` and ``pos``. Intervals are cut at time buckets and travel
+    as one array per bucket, so each event meets one row and keeps its place whatever its id is. In a
+    bucket with more than ``crowded`` intervals they are first turned into disjoint segments that
+    carry the winner, and the bucket is divided until its parts hold a few segments each.
     """
-    laid = (spans.where(F.col("end_us") >= F.col("start_us"))
-            .select("pos", "start_us", "end_us", *[c.alias(f"_f_{n}") for n, c in value.items()])
+    spans = spans.where(F.col("end_us") >= F.col("start_us"))
+    low = F.col("_bucket") * bucket_us
+    laid = (spans.select("pos", "start_us", "end_us")
             .withColumn("_bucket", F.explode(F.sequence(
-                F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us)))))
+                F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us))))
+            .groupBy("_bucket", F.greatest("start_us", low).alias("_from"),
+                     F.least("end_us", low + (bucket_us - 1)).alias("_to"))
+            .agg(F.min("pos").alias("pos")).withColumn("_part", F.lit(0).cast("bigint")))
+    busy = laid.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
     tagged = events.withColumn("_bucket", F.floor(F.col(us) / bucket_us))
-    counts = laid.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    if not counts.where(F.col("_n") > crowded).isEmpty():
-        inside = F.col(us).between(F.col("start_us"), F.col("end_us"))
-        if applies is not None:
-            inside = inside & applies
-        first = (tagged.select(event_id, us, "_bucket", *_used(events, applies, event_id, us))
-                 .join(laid, "_bucket").where(inside).groupBy(event_id)
-                 .agg(F.min_by(F.struct(*[f"_f_{n}" for n in value]), "pos").alias("_hit")))
-        joined = events.join(first, event_id, "left")
-        return joined.select(*events.columns, *[F.col(f"_hit._f_{n}").alias(n) for n in value])
-    arrays = laid.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(
-        "pos", "start_us", "end_us", *[f"_f_{n}" for n in value]))).alias("_spans"))
-    joined = tagged.join(arrays, "_bucket", "left")
-    hit = F.get(F.filter("_spans", lambda s: F.col(us).between(s["start_us"], s["end_us"])), 0)
-    if applies is not None:
-        hit = F.when(applies, hit)
-    joined = joined.withColumn("_hit", hit)
+    part = F.lit(0).cast("bigint")
+    if not busy.isEmpty():
+        busy = materialize(busy)
+        cut = materialize(
+            laid.join(broadcast_if_small(busy), "_bucket").groupBy("_bucket").applyInPandas(
+                _segments(bucket_us), "_bucket bigint, _width bigint, _part bigint, _from bigint, "
+                f"_to bigint, pos {dict(laid.dtypes)['pos']}"))
+        laid = laid.join(broadcast_if_small(busy), "_bucket", "left_anti").unionByName(cut.drop("_width"))
+        tagged = tagged.join(broadcast_if_small(cut.select("_bucket", "_width").distinct()), "_bucket", "left")
+        part = F.coalesce(F.floor((F.col(us) - low) / F.col("_width")), part)
+    found = spans.select("pos", *[c.alias(f"_f_{n}") for n, c in value.items()]).dropDuplicates(["pos"])
+    arrays = laid.join(found, "pos").groupBy("_bucket", "_part").agg(F.sort_array(F.collect_list(
+        F.struct("pos", "_from", "_to", *[f"_f_{n}" for n in value]))).alias("_spans"))
+    joined = tagged.withColumn("_part", part).join(arrays, ["_bucket", "_part"], "left")
+    hit = F.get(F.filter("_spans", lambda s: F.col(us).between(s["_from"], s["_to"])), 0)
+    joined = joined.withColumn("_hit", hit if applies is None else F.when(applies, hit))
     return joined.select(*events.columns, *[F.col(f"_hit._f_{n}").alias(n) for n in value])
 
 
-def _used(events: DataFrame, applies: Column | None, *have: str) -> list[str]:
-    """The remaining event columns, needed only when a condition reads them."""
-    return [] if applies is None else [c for c in events.columns if c not in have]
+def _segments(bucket_us: int):
+    """Sweeps a bucket's intervals; a heap holds the open ones, its top wins the segment."""
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["_bucket"].iloc[0])
+        rows = sorted(zip(pdf["_from"], pdf["_to"], pdf["pos"]))
+        borders = sorted({x for a, b, _ in rows for x in (a, b + 1)})
+        open_spans, segments, at = [], [], 0
+        for a, b in zip(borders, borders[1:]):
+            while at < len(rows) and rows[at][0] <= a:
+                heapq.heappush(open_spans, (rows[at][2], rows[at][1]))
+                at += 1
+            while open_spans and open_spans[0][1] < a:
+                heapq.heappop(open_spans)
+            if open_spans:
+                segments.append((a, b - 1, open_spans[0][0]))
+        width = max(1, bucket_us >> (len(segments) // 16).bit_length())
+        low = bucket * bucket_us
+        out = [(bucket, width, p, a, b, pos) for a, b, pos in segments
+               for p in range((a - low) // width, (b - low) // width + 1)]
+        return pd.DataFrame(out, columns=["_bucket", "_width", "_part", "_from", "_to", "pos"])
+    return cut
 
 
 def session_span(events: DataFrame, spans: DataFrame, mode: str = "exact", us: str = "us"

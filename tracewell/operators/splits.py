@@ -52,11 +52,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, ids: list[str], column: str =
         codes = F.create_map(*items)
         return df.select(*ids, F.transform(column, lambda t: F.coalesce(
             F.try_element_at(codes, t), F.lit(1))).alias("token_ids"))
-    parts = df.select(*ids, F.posexplode(column).alias("_i", "token"))
+    keyed = df.select(*ids, column).withColumn("_row", F.monotonically_increasing_id())
+    parts = keyed.select("*", F.posexplode_outer(column).alias("_i", "token"))
     small = broadcast_if_small(vocab.select("token", F.col("id").alias("_id")))
     coded = parts.join(small, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(1)))
-    return coded.groupBy(*ids).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_i", "_id"))), lambda x: x["_id"]).alias("token_ids"))
+    # One row per input row, whatever its ids are; a null array stays null and an empty one empty.
+    item = F.when(F.col("_i").isNotNull(), F.struct("_i", "_id"))
+    out = coded.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in ids], F.first(F.col(column).isNull()).alias("_null"),
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_id"]).alias("_codes"))
+    return out.select(*ids, F.when(~F.col("_null"), F.col("_codes")).alias("token_ids"))
 
 
 def encode_category(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
