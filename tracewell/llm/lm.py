@@ -38,9 +38,6 @@ PRIOR = 20.0
 BLOCK_BYTES = 4_000_000
 START, END = b"\n^", b"\n$"  # no words, since they hold white space
 
-COUNTS = pa.uint32()
-
-
 def held_out(doc_id: Column) -> Column:
     """One document in ten, by the CRC-32 of its id as text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -153,6 +150,26 @@ def _buckets(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (keys % np.uint64(buckets)).astype(np.int64) + order * buckets
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that the shuffle's compression sees runs of zeros."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray, buckets: int) -> bytes:
+    """Ascending keys of one bucket: the steps between them, without the part that the bucket tells."""
+    return _packed(np.diff(keys // np.uint64(buckets), prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    """The packed keys, alike for equal keys of a bucket."""
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def _ask(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """A block's grams and their training counts, one row per bucket that it needs."""
     def run(group: pa.Table) -> pa.Table:
@@ -165,8 +182,8 @@ def _ask(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             cuts = np.flatnonzero(np.diff(where[by])) + 1
             for part in np.split(by, cuts) if len(by) else []:
                 rows["bucket"].append(int(where[part[0]]))
-                rows["keys"].append(block.keys[m][part].tobytes())
-                rows["counts"].append(counts[m][part].tobytes())
+                rows["keys"].append(_packed_keys(block.keys[m][part], buckets))
+                rows["counts"].append(_packed(counts[m][part]))
         rows["block"] = [group["block"][0].as_py()] * len(rows["bucket"])
         return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int64()),
                                                 ("keys", pa.binary()), ("counts", pa.binary())]))
@@ -175,13 +192,13 @@ def _ask(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def _add_up(group: pa.Table) -> pa.Table:
     """The totals of a bucket's grams, for each block in the order in which it asked."""
-    lists = [np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"].to_pylist()])
+    lists = [_unpacked_keys(x) for x in group["keys"].to_pylist()]
+    counts = np.concatenate([_unpacked(x, np.uint32) for x in group["counts"].to_pylist()])
     keys, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(inverse, weights=counts, minlength=len(keys))[inverse].astype(np.uint32)
     cuts = np.cumsum([len(x) for x in lists])[:-1]
     return pa.table({"block": group["block"], "bucket": group["bucket"],
-                     "totals": pa.array([x.tobytes() for x in np.split(totals, cuts)], pa.binary())})
+                     "totals": pa.array([_packed(x) for x in np.split(totals, cuts)], pa.binary())})
 
 
 def _answer(order: int, buckets: int, tokens: int, types: int, prior: float):
@@ -193,7 +210,7 @@ def _answer(order: int, buckets: int, tokens: int, types: int, prior: float):
             where = _buckets(block.keys[m], m, buckets)
             by = np.argsort(where, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(where[by])) + 1) if len(by) else []:
-                counts[m][part] = np.frombuffer(got[int(where[part[0]])], np.uint32)
+                counts[m][part] = _unpacked(got[int(where[part[0]])], np.uint32)
         automaton = Automaton(block, counts, tokens, types, prior)
         scores = [automaton.score(i) for i in range(group.num_rows)]
         kind = (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()),
@@ -216,7 +233,7 @@ def _vocabulary(batches):
         n = sum(map(len, docs)) + len(docs)
         return pa.RecordBatch.from_pydict({
             "bucket": pa.array([int(where[p[0]]) for p in parts], pa.int64()),
-            "keys": pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+            "keys": pa.array([_packed_keys(keys[p], buckets) for p in parts], pa.binary()),
             "tokens": pa.array([n, *[0] * (len(parts) - 1)], pa.int64())})
 
     held, size = [], 0
@@ -233,7 +250,7 @@ def _vocabulary(batches):
 
 
 def _distinct(group: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()])
+    keys = np.concatenate([_unpacked_keys(x) for x in group["keys"].to_pylist()])
     return pa.table({"types": pa.array([len(np.unique(keys))], pa.int64()),
                      "tokens": pa.array([sum(group["tokens"].to_pylist())], pa.int64())})
 
