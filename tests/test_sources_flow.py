@@ -98,6 +98,35 @@ def test_derive_flow_edges(spark):
     assert b["src_ip"] == "unknown" and b["protocol"] == 6
 
 
+def test_directional_columns_are_summed(spark):
+    df = spark.createDataFrame(
+        [(2.0, 4, 6, 400, 600), (1.0, 0, 3, 0, 90)], "`Flow Duration` double, `Total Fwd Packets` int, "
+        "`Total Backward Packets` int, `Total Length of Fwd Packets` int, `Total Length of Bwd Packets` int")
+    a, b = FL.derive_flow(df).collect()
+    assert (a["tot_fwd_pkts"], a["tot_bwd_pkts"], a["tot_bytes"], a["flow_pkts_per_s"]) == (4.0, 6.0, 1000.0, 5.0)
+    assert (b["tot_fwd_pkts"], b["tot_bwd_pkts"], b["tot_bytes"]) == (0.0, 3.0, 90.0)
+
+
+def test_line_order_follows_the_files(spark, tmp_path):
+    # The closing line lies in the largest file, which Spark reads first.
+    texts = ["SESSION 1 START 2024-01-01T00:00:00Z\n", "SESSION 1 START 2024-01-02T00:00:00Z\n",
+             "x\n" * 5000 + "SESSION 1 END 2024-01-03T00:00:00Z\n", "SESSION 1 END 2024-01-04T00:00:00Z\n"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i}.txt").write_text(t)
+    got = R.read_sessions(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["start"].day, r["end"].day) for r in got] == [(2, 3), (2, 3)]
+
+
+def test_csv_folder_union(spark, tmp_path):
+    for i in range(6):
+        head = "a,b" if i % 2 else "b,c"
+        (tmp_path / f"d{i}.csv").write_text(f"{head}\n{i},x\n{i},y\n")
+    out = R.read_csv_union(spark, str(tmp_path))
+    assert set(out.columns) == {"a", "b", "c", "source_file"}
+    rows = {(r["source_file"], r["a"], r["b"], r["c"]) for r in out.collect()}
+    assert ("d1.csv", "1", "x", None) in rows and ("d2.csv", None, "2", "y") in rows and len(rows) == 12
+
+
 def test_packet_networks(spark):
     rows = [("10.244.9.1", "10.111.255.255", 6, 0x12), ("10.245.0.1", "10.112.0.0", 17, 0x12),
             ("bad", "10.96.0.0", 6, 0x01), ("300.1.1.1", "10.244.0.1", 1, 0)]

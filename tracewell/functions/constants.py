@@ -182,6 +182,26 @@ IDENTIFIER_COLUMNS = [
 ]
 PROTOCOL_NUMBERS = {"tcp": 6, "udp": 17, "icmp": 1}
 
+# --- columns that hold a flow measure, first match counts (fixed values) ---
+FLOW_ALIASES = {
+    "duration": ["duration_s", "duration", "flow_duration", "Flow Duration"],
+    "packets": ["packets_count", "tot_pkts", "total_packets"],
+    "fwd_packets": ["fwd_packets_count", "tot_fwd_pkts", "total_fwd_packets", "Total Fwd Packets",
+                    "Tot Fwd Pkts"],
+    "bwd_packets": ["bwd_packets_count", "tot_bwd_pkts", "total_bwd_packets", "Total Backward Packets",
+                    "Tot Bwd Pkts"],
+    "bytes": ["tot_bytes", "total_bytes", "bytes", "bytes_count"],
+    "fwd_bytes": ["Total Length of Fwd Packets", "TotLen Fwd Pkts"],
+    "bwd_bytes": ["Total Length of Bwd Packets", "TotLen Bwd Pkts"],
+}
+FLOW_ADDRESSES = {"src_ip": ["src_ip", "source_ip", "Src IP", "Source IP"],
+                  "dst_ip": ["dst_ip", "destination_ip", "Dst IP", "Destination IP"]}
+FLOW_PORTS = {"src_port": ["src_port", "source_port", "Src Port", "Source Port"],
+              "dst_port": ["dst_port", "destination_port", "Dst Port", "Destination Port"]}
+FLOW_PROTOCOL = ["protocol", "Protocol"]
+FLOW_SECONDS_AT_MOST = 1000
+FLOW_PACKET_BYTES = 1500
+
 # --- foreign flow column -> canonical name (fixed values) ---
 FLOW_COLUMN_MAP = {
     "Flow ID": "flow_id", "Src IP": "src_ip", "Src Port": "src_port", "Dst IP": "dst_ip",

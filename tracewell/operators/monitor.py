@@ -1,4 +1,4 @@
-"""Monitoring rollups over a counter table ``(us, metric, label, value)``."""
+"""Monitoring rollups over a counter table ``(us, metric, label, value)``, with an optional ``seq``."""
 
 from __future__ import annotations
 
@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 MINUTE_US = 60_000_000
 
 
+def _last(df: DataFrame) -> Column:
+    """The last value by time; samples of equal time are told apart by ``seq``, else by value."""
+    return F.max_by("value", F.struct("us", "seq" if "seq" in df.columns else "value"))
+
+
 def total(df: DataFrame, metric: str) -> DataFrame:
     """Sum of the last value of every series of a counter, 0 when there is none."""
     last = df.where(F.col("metric") == metric).groupBy("metric", "label").agg(
-        F.max_by("value", "us").alias("v"))
+        _last(df).alias("v"))
     return last.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
 
 
@@ -22,7 +27,7 @@ def increase(df: DataFrame, minutes: int = 1, labels: list[str] = ["metric", "la
     """
     width = minutes * MINUTE_US
     per = df.groupBy(*labels, F.floor(F.col("us") / width).alias("win")).agg(
-        F.max_by("value", "us").alias("v"))
+        _last(df).alias("v"))
     prev = F.lag("v").over(Window.partitionBy(*labels).orderBy("win"))
     step = F.when(prev.isNull(), F.col("v")).when(F.col("v") < prev, F.col("v")).otherwise(
         F.col("v") - prev)
@@ -40,7 +45,7 @@ def offset_rule(df: DataFrame, minutes: int = 1) -> DataFrame:
     """Sum over all series against the sum one window earlier, a missing one counting as 0."""
     width = minutes * MINUTE_US
     sums = df.groupBy(F.floor(F.col("us") / width).alias("win"), "metric", "label").agg(
-        F.max_by("value", "us").alias("v")).groupBy("win").agg(F.sum("v").alias("now"))
+        _last(df).alias("v")).groupBy("win").agg(F.sum("v").alias("now"))
     prev = sums.select((F.col("win") + 1).alias("win"), F.col("now").alias("before"))
     diff = F.col("now") - F.coalesce("before", F.lit(0))
     return sums.join(prev, "win", "left").select(

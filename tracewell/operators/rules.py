@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import flag
 from tracewell.operators.evaluate import score_points
-from tracewell.operators.joins import known_allow
 from tracewell.operators.normalize import allowed
 
 RULES = ["rule_f", "rule_recon", "rule_destruct", "rule_hijack", "rule_persist", "rule_anom"]
@@ -39,18 +38,21 @@ def episode_rules(windows: DataFrame, threshold: float = 0.5, k: int = K.HYSTERE
     Windows carry ``part, session, uid, user, label, prob`` and the features. Everything about
     windows is one map-side combined aggregation; identities are tested on the small result.
     """
-    eps = windows.groupBy("part", "session", "uid").agg(
-        F.min("user").alias("user"), F.max("label").alias("label"),
-        F.count(F.lit(1)).alias("n_windows"),
-        F.count_if(F.col("prob") >= threshold).alias("fired"),
-        F.count_if((F.col("prob") >= threshold) & F.col("novel")).alias("fired_novel")
-        if "novel" in windows.columns else F.lit(None).cast("bigint").alias("fired_novel"),
+    fired = F.col("prob") >= threshold
+    novel = F.count_if(fired & F.col("novel")) if "novel" in windows.columns else F.lit(None).cast("bigint")
+    # First per identity; whether an identity was ever seen behaving well is settled on that result.
+    per = windows.groupBy("part", "session", "uid", "user").agg(
+        F.max("label").alias("label"), F.count(F.lit(1)).alias("n_windows"),
+        F.count_if(fired).alias("fired"), novel.alias("fired_novel"),
+        F.bool_or(F.coalesce(F.col("label") == 0, F.lit(False))).alias("_good"),
         *[F.bool_or(cond).alias(name) for name, cond in window_signals().items()])
-    known = known_allow(windows).withColumn("_known", F.lit(True))
-    eps = eps.join(known, "user", "left")
+    per = per.withColumn("_known", F.bool_or("_good").over(Window.partitionBy("user")) & allowed(F.col("user")))
+    eps = per.groupBy("part", "session", "uid").agg(
+        F.min_by("_known", "user").alias("_known"), F.min("user").alias("user"),
+        F.max("label").alias("label"), *[F.sum(c).alias(c) for c in ("n_windows", "fired", "fired_novel")],
+        *[F.bool_or(name).alias(name) for name in window_signals()])
     free = ~allowed(F.col("user"))
-    odd = (allowed(F.col("user")) & F.col("user").startswith("system:serviceaccount:")
-           & F.col("_known").isNull())
+    odd = (allowed(F.col("user")) & F.col("user").startswith("system:serviceaccount:") & ~F.col("_known"))
     eps = eps.withColumns({
         "clf": (F.col("fired") >= k) & free,
         "clf_novel": F.coalesce((F.col("fired_novel") >= k) & free, F.lit(False)),

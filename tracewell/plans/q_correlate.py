@@ -249,16 +249,16 @@ def metrics(spark, sf):
         (F.col("us") >= RESTART).alias("late"))
     out = running_totals(ev, [F.col("us"), F.col("event_id")], F.floor(F.col("us") / 3_600_000_000),
                          {"value": F.lit(1)}, ["label", "late"])
-    return out.select("us", "metric", "label", "value")
+    return out.select("us", F.col("event_id").alias("seq"), "metric", "label", "value")
 
 
-INC = """lastv AS (SELECT metric, label, us // {w} AS win, arg_max(value, us) AS v FROM mt GROUP BY ALL),
+INC = """lastv AS (SELECT metric, label, us // {w} AS win, arg_max(value, ROW(us, event_id)) AS v FROM mt GROUP BY ALL),
   stp AS (SELECT *, lag(v) OVER (PARTITION BY metric, label ORDER BY win) AS p FROM lastv),
   incr AS (SELECT metric, label, win, CAST(CASE WHEN p IS NULL OR v < p THEN v ELSE v - p END AS BIGINT) AS increase
     FROM stp)"""
 
 
-@query("mon_total", f"""WITH {METRICS}, l AS (SELECT label, arg_max(value, us) AS v FROM mt GROUP BY label)
+@query("mon_total", f"""WITH {METRICS}, l AS (SELECT label, arg_max(value, ROW(us, event_id)) AS v FROM mt GROUP BY label)
   SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM l""")
 def mon_total(spark, sf):
     return M.total(metrics(spark, sf), "events_total")
@@ -308,7 +308,7 @@ def str_rate_rules(spark, sf):
 
 
 @query("mon_offset_rule", f"""WITH {METRICS}, l AS (SELECT us // 60000000 AS win, label,
-    arg_max(value, us) AS v FROM mt GROUP BY ALL), s AS (SELECT win, sum(v) AS now FROM l GROUP BY win)
+    arg_max(value, ROW(us, event_id)) AS v FROM mt GROUP BY ALL), s AS (SELECT win, sum(v) AS now FROM l GROUP BY win)
   SELECT s.win * 60000000 AS win_us, CAST(s.now AS BIGINT) AS now,
     CAST(s.now - coalesce(p.now, 0) AS BIGINT) AS change
   FROM s LEFT JOIN s p ON p.win = s.win - 1 WHERE s.now - coalesce(p.now, 0) > 0""")

@@ -69,11 +69,13 @@ def str_dedup(spark, sf):
                  "dedup")
 
 
-@query("str_poll_source", f"""WITH {V.LINES} SELECT DISTINCT audit_id AS seq, actor FROM lines
-  WHERE NOT broken AND NOT blank AND json_id <> '' AND category <> 'other'""")
+@query("str_poll_source", f"""WITH {V.LINES}, r AS (SELECT * FROM lines WHERE NOT broken AND NOT blank
+    AND category <> 'other')
+  SELECT audit_id AS seq, actor FROM r WHERE json_id = '' UNION ALL
+  SELECT DISTINCT audit_id, actor FROM r WHERE json_id <> ''""")
 def str_poll_source(spark, sf):
     ev = N.flatten_event(landed_events(spark, sf).where(F.col("category") != "other"))
-    ev = ev.withColumnRenamed("time_generated", "ts").where(F.col("audit_key") != "")
+    ev = ev.withColumnRenamed("time_generated", "ts")
     out, state = scratch_path(spark, "poll"), scratch_path(spark, "poll-cp")
 
     def keep(df, batch_id):
@@ -180,14 +182,13 @@ def sink_counters(spark, sf):
   CASE WHEN value / (value + 50) >= 0.95 THEN 'CRITICAL' WHEN value / (value + 50) >= 0.85 THEN 'HIGH'
     WHEN value / (value + 50) >= 0.70 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   array_to_string(tokens[-5:], ' ') AS last_tokens FROM tk
-  WHERE value / (value + 50) >= 0.5 AND len(tokens) >= 5""")
+  WHERE value / (value + 50) >= 0.5""")
 def sink_alert_stream(spark, sf):
     out, root = scratch_path(spark, "tok"), scratch_path(spark, "state")
     job = ActorHistory(spark, root, out, with_tokens=True)
     S.run_batches(audit_stream(spark, sf), job.process, scratch_path(spark, "cp"))
     value = V.audit(spark, sf).select("audit_id", (F.col("value") / (F.col("value") + 50)).alias("prob"))
-    scored = spark.read.parquet(out).join(value, "audit_id").where(
-        F.size(F.filter("tokens", lambda t: t != "<PAD>")) >= 5)
+    scored = spark.read.parquet(out).join(value, "audit_id")
     path = scratch_path(spark, "alerts")
     write_alerts(S.alert_records(scored), path)
     return spark.read.parquet(path).withColumn("last_tokens", F.array_join("last_tokens", " "))

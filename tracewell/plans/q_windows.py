@@ -167,13 +167,13 @@ RULE_SQL = f"""{Q.LABELLED}, known AS (SELECT DISTINCT actor FROM lab1 WHERE lab
 
 
 def rule_episodes(spark, sf):
-    return RU.episode_rules(written_table(novel_windows(spark, sf), "novel"))
+    """Episodes with every rule, straight from the windows: nothing is written, novelty isn't asked."""
+    return RU.episode_rules(scored_windows(spark, sf))
 
 
-def novel_windows(spark, sf):
-    """Scored windows flagged ``novel`` when no train attack has the same vector."""
+def novel_windows(df):
+    """Flags windows ``novel`` when no train attack has the same vector."""
     from tracewell.operators.joins import vector_columns, vector_keys
-    df = scored_table(spark, sf)
     keys = vector_keys(K.EVAL_FEATURES)
     vec = vector_columns(df, K.EVAL_FEATURES)
     seen = (vec.where((F.col("part") == "train") & (F.col("label") == 1)).select(*keys).distinct()
@@ -361,8 +361,8 @@ TRAJ = f"""{RULE_SQL}, tr AS (SELECT part, session, uid,
 
 def distinct_episodes(spark, sf):
     """Categorised episodes with identical trajectories collapsed."""
-    windows = written_table(novel_windows(spark, sf), "novel")
-    eps = with_category(RU.episode_rules(windows)).where(F.col("category").isNotNull())
+    windows = scored_table(spark, sf)
+    eps = with_category(RU.episode_rules(novel_windows(windows))).where(F.col("category").isNotNull())
     sig = A.trajectory_signature(windows, K.EVAL_FEATURES)
     return A.distinct_trajectories(eps.join(sig, A.EPISODE))
 
@@ -382,9 +382,10 @@ _WILSON = """CASE WHEN total = 0 THEN 0 ELSE greatest(0, (detected / total + 1.9
 @query("agg_rule_matrix", f"""WITH {TRAJ}, m AS (""" + " UNION ALL ".join(
     f"SELECT category, '{r}' AS rule, CAST(count(*) FILTER (WHERE {r}) AS BIGINT) AS detected, "
     "CAST(count(*) AS BIGINT) AS total FROM cat GROUP BY category" for r in MATRIX_RULES) + """)
-  SELECT category, rule, detected, total, detected / total AS rate FROM m""")
+  SELECT category, rule, detected, total, detected / total AS rate, """ + _WILSON + """ AS wilson_lb FROM m""",
+       rounded=("wilson_lb",))
 def agg_rule_matrix(spark, sf):
-    return A.rule_matrix(distinct_episodes(spark, sf), MATRIX_RULES).drop("wilson_lb")
+    return A.rule_matrix(distinct_episodes(spark, sf), MATRIX_RULES)
 
 
 @query("agg_wilson", f"""WITH {V.PRED}, t AS (SELECT actor, component, CAST(count(*) AS BIGINT) AS total,

@@ -14,19 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores over all cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # One identity per user, cycling over attack tools, controllers and people.
-ACTOR_STEM = "|".join([
+ACTOR_STEMS = [
     "adversary-escv-", "redteam-stratus-", "system:serviceaccount:kube-system:c", "ci-deployer",
     "redteam-peirates-", "adversary-lat-", "adversary-impv-", "redteam-rakkess-", "ns:recon-sa-",
     "adversary-evav-", "adversary-stealth-", "redteam-persist-", "redteam-lat-ext-",
-    "system:node:n", "victim-sa-", "user-", "user-", "user-", "user-", "user-"])
-ACTOR = f"""concat(split_part('{ACTOR_STEM}', '|', CAST(user_id % 20 + 1 AS INT)),
+    "system:node:n", "victim-sa-", "user-", "user-", "user-", "user-", "user-"]
+ACTOR = f"""concat(CASE user_id % 20 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ACTOR_STEMS))} END,
  CASE WHEN user_id % 20 = 3 THEN '' ELSE CAST(CASE WHEN user_id % 20 IN (0, 6) THEN user_id % 7
    WHEN user_id % 20 = 5 THEN user_id % 11 WHEN user_id % 20 = 9 THEN user_id % 9
    ELSE user_id END AS STRING) END)"""
@@ -91,9 +85,8 @@ def _derive(base: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFr
     return base.selectExpr(*keep, *[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def events(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
-    base = table(spark, sf_dir, "events")
-    return ((spread(base) if spread_out else base)
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "events")
             .withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("us", F.unix_micros("ts"))
             .withColumn("k", F.expr(K_INT)))
@@ -160,7 +153,7 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(k % 29 == 0, '{"auditID": broken').when(k % 31 == 0, "  ").otherwise(_json_line())
     # The text comes out of a generator, so filters on it do not move below and build it again.
     copies = F.when(k % 11 == 0, 2).otherwise(1)
-    return audit_from(events(spark, sf_dir, spread_out=True)).select(
+    return audit_from(events(spark, sf_dir)).select(
         F.col("ts").alias("time_generated"), "us", F.col("audit_id").alias("seq"), "k",
         F.when(k % 2 == 0, "kube-audit").when(k % 23 == 1, "other")
         .otherwise("kube-audit-admin").alias("category"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tracewell import schemas
 from tracewell.functions.scalars import parse_iso
+from tracewell.session import broadcast_if_small
 
 
 def parse_json_lines(lines: DataFrame, column: str, schema: T.StructType, name: str = "event"
@@ -87,9 +88,24 @@ def parse_sessions(lines: DataFrame, column: str = "value", pos: str = "pos") ->
                     parse_iso(F.col("end")).alias("end"), F.col(pos).alias("pos")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with ``pos``, which rises by file path, then by place in the file.
+
+    Spark may read a larger file first, so its row numbers alone don't follow the files. Files and
+    their blocks are ranked (one row each), and the row number within a task counts inside a block.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.select("_file", "_start").distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy("_file", "_start")))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.join(broadcast_if_small(blocks), ["_file", "_start"]).select(
+        "value", (F.shiftleft(F.col("_rank").cast("bigint"), 33) + within).alias("pos"))
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return parse_sessions(lines)
+    return parse_sessions(numbered_lines(spark, path))
 
 
 def parse_markers(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -109,8 +125,7 @@ def parse_attack_windows(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_attack_windows(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
-    return parse_attack_windows(lines)
+    return parse_attack_windows(numbered_lines(spark, path))
 
 
 def read_csv_clean(spark: SparkSession, path: str) -> DataFrame:
@@ -123,11 +138,21 @@ def read_csv_clean(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.coalesce(F.col(f"`{first}`") != first, F.lit(True)))
 
 
-def read_csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Stack CSV files whose columns differ; absent columns are null. Adds ``source_file``."""
+def read_csv_union(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Stack CSV files whose columns differ; absent columns are null. Adds ``source_file``.
+
+    The first line of every file is looked up in one pass; files with equal headers are one scan.
+    """
+    first = (spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"),
+        F.col("_metadata.file_block_start").alias("at")).where(F.col("at") == 0)
+        .groupBy("path").agg(F.min_by("value", "n").alias("header")))
+    same: dict[str, list[str]] = {}
+    for r in first.orderBy("path").toLocalIterator():
+        same.setdefault(r["header"], []).append(r["path"])
     out = None
-    for path in paths:
-        one = spark.read.option("header", True).csv(path)
+    for files in same.values():
+        one = spark.read.option("header", True).csv(files)
         one = one.withColumn("source_file", F.col("_metadata.file_name"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out

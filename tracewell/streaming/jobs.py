@@ -77,10 +77,11 @@ def counters(stream: DataFrame, metric: str, label: str, width: str = "1 minute"
 
 
 def alert_records(scored: DataFrame, threshold: float = 0.5, last: int = 5) -> DataFrame:
-    """Alert rows: actor, probability, severity and the last tokens."""
+    """Alert rows: actor, probability, severity and the last tokens, however few there are."""
+    real = F.filter("tokens", lambda t: t != "<PAD>")
     return scored.where(F.col("prob") >= threshold).select(
         "audit_id", "actor", "prob", severity_band(F.col("prob")).alias("severity"),
-        F.slice("tokens", -last, last).alias("last_tokens"))
+        F.slice(real, F.greatest(F.size(real) - (last - 1), F.lit(1)), F.lit(last)).alias("last_tokens"))
 
 
 def tokens(stream: DataFrame) -> DataFrame:
