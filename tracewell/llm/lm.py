@@ -259,7 +259,7 @@ def training_size(train: DataFrame, text: str, buckets: int) -> tuple[int, int]:
     """Tokens and distinct tokens of the training texts, ends included."""
     lists = train.select(F.col(text).cast("binary"), F.lit(buckets).alias("n")).mapInArrow(
         _vocabulary, "bucket bigint, keys binary, tokens bigint")
-    row = lists.groupBy("bucket").applyInArrow(_distinct, "types bigint, tokens bigint").agg(
+    row = lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_distinct, "types bigint, tokens bigint").agg(
         F.sum("tokens"), F.sum("types")).first()
     return row[0] or 0, row[1] or 0
 
@@ -277,7 +277,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ord
         blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(
         _ask(order, blocks), "block bigint, bucket bigint, keys binary, counts binary")
-    replies = asked.groupBy("bucket").applyInArrow(
+    replies = asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(
         _add_up, "block bigint, bucket bigint, totals binary").repartition(blocks, "block")
     id_type = dict(rows.dtypes)["id"]
     scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
