@@ -169,7 +169,7 @@ def known_allow(df: DataFrame, user: str = "user", label: str = "label") -> Data
 def heavy_hitter(df: DataFrame, top: DataFrame, key: str = "src_ip") -> DataFrame:
     """Flag rows whose source is in the top list. The list has at most k rows by construction."""
     marks = top.select(key).withColumn("is_heavy", F.lit(1))
-    return df.join(F.broadcast(marks), key, "left").withColumn(
+    return df.join(broadcast_if_small(marks), key, "left").withColumn(
         "is_heavy", F.coalesce("is_heavy", F.lit(0)))
 
 

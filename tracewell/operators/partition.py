@@ -163,21 +163,14 @@ def unit_bucket(score: Column, buckets: int = 65536) -> Column:
     return F.floor((odds + span) / (2 * span) * buckets).cast("bigint")
 
 
-def text_buckets(text: Column, levels: int = 3) -> list[Column]:
-    """Nested buckets rising with the text's byte order, two bytes per level."""
-    code = F.rpad(F.hex(F.encode(text, "UTF-8")), 4 * levels, "0")
-    return [F.conv(F.substring(code, 4 * i + 1, 4), 16, 10).cast("bigint") for i in range(levels)]
+def draw_key(cols: list[str], seed: int = 42) -> Column:
+    """A repeatable pseudo-random order key: hex text that any engine computes alike."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def hash_order(cols: list[str], seed: int = 42) -> Column:
-    """A repeatable pseudo-random order key."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-
-
-def hash_bucket(key: Column, buckets: int = 4096) -> Column:
-    """Bucket rising with a signed 64-bit hash."""
-    width = (1 << 64) // buckets
-    return F.floor(key.cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")).cast("bigint")
+def draw_number(key: Column, digits: int = 8) -> Column:
+    """The key's first hex digits as a number, which rises with the key."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
 
 
 def exact_quantiles(

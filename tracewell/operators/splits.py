@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import constants as K
@@ -10,12 +10,12 @@ from tracewell.functions.scalars import last_segment
 from tracewell.operators.joins import vector_columns, vector_keys
 from tracewell.operators.normalize import is_recon, lookup
 from tracewell.operators.partition import (
-    hash_bucket,
-    hash_order,
+    draw_key,
+    draw_number,
+    range_totals,
     running_totals,
-    text_buckets,
 )
-from tracewell.session import broadcast_if_small, small_side
+from tracewell.session import broadcast_if_small, materialize, small_side
 
 
 def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label") -> DataFrame:
@@ -29,11 +29,10 @@ def topk_sources(df: DataFrame, k: int, key: str = "src_ip", label: str = "label
 def vocabulary(tokens: DataFrame, column: str = "token") -> DataFrame:
     """Sorted distinct tokens numbered from 2, after ``<PAD>`` and ``<UNK>``.
 
-    Numbers come from prefix sums over text prefixes, so no task sorts all tokens.
+    Numbers come from running sums over sampled ranges, so no task sorts all tokens.
     """
     distinct = tokens.select(F.col(column).alias("token")).distinct()
-    numbered = running_totals(distinct, [F.col("token")], text_buckets(F.col("token")),
-                              {"id": F.lit(1)})
+    numbered = range_totals(distinct, [F.col("token")], {"id": F.lit(1)})
     special = distinct.sparkSession.createDataFrame(
         [("<PAD>", 0), ("<UNK>", 1)], "token string, id bigint")
     return numbered.select("token", (F.col("id") + 1).cast("bigint").alias("id")).unionByName(special)
@@ -67,8 +66,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, ids: list[str], column: str =
 def encode_category(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """Dense codes of the reference's sorted values; -1 for values it never had."""
     distinct = reference.select(column).distinct()
-    text = F.col(column)
-    codes = running_totals(distinct, [text], text_buckets(text), {"_code": F.lit(1)})
+    codes = range_totals(distinct, [F.col(column)], {"_code": F.lit(1)})
     return (df.join(codes.select(column, (F.col("_code") - 1).alias("code")), column, "left")
             .withColumn("code", F.coalesce("code", F.lit(-1))))
 
@@ -149,13 +147,10 @@ def holdout_file(df: DataFrame, held_out: str | None = None, frac: float = 0.7,
     """One named file held out, or the earliest ``frac`` of the files as train."""
     if held_out is not None:
         return df.withColumn("split", F.when(F.col(column) == held_out, "test").otherwise("train"))
-    files = df.select(column).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy(column)
-    whole = Window.partitionBy(F.lit(0))
-    ranked = files.select(column, F.when(
-        F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(whole) * frac), "train"
-    ).otherwise("test").alias("split"))
-    return df.join(small_side(ranked), column)
+    files = materialize(df.select(column).distinct())
+    ranked = range_totals(files, [F.col(column)], {"_p": F.lit(1)})
+    part = F.when(F.col("_p") <= F.floor(F.lit(files.count() * frac)), "train").otherwise("test")
+    return df.join(broadcast_if_small(ranked.select(column, part.alias("split"))), column)
 
 
 def leave_heavy_hitter_out(df: DataFrame, k: int, test_percent: int = 30, seed: int = 42,
@@ -163,8 +158,8 @@ def leave_heavy_hitter_out(df: DataFrame, k: int, test_percent: int = 30, seed:
                            ) -> DataFrame:
     """Top-k attackers are test; benign rows split by hash; minor attackers are train."""
     top = topk_sources(df, k, key, label)
-    marked = df.join(F.broadcast(top.select(key, F.lit(1).alias("_heavy"))), key, "left")
-    draw = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(100)) < test_percent
+    marked = df.join(broadcast_if_small(top.select(key, F.lit(1).alias("_heavy"))), key, "left")
+    draw = draw_number(draw_key([row_id], seed)) % 100 < test_percent
     test = F.when(F.col(label) == 1, F.coalesce(F.col("_heavy"), F.lit(0)) == 1).otherwise(draw)
     return marked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_heavy")
 
@@ -172,8 +167,8 @@ def leave_heavy_hitter_out(df: DataFrame, k: int, test_percent: int = 30, seed:
 def stratified_split(df: DataFrame, frac: float = 0.8, label: str = "label",
                      row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Exactly ``frac`` of each class in train, drawn by hash order."""
-    out = df.withColumn("_h", hash_order([row_id], seed))
-    pos = running_totals(out, [F.col("_h"), F.col(row_id)], hash_bucket(F.col("_h")),
+    out = df.withColumn("_h", draw_key([row_id], seed))
+    pos = running_totals(out, [F.col("_h"), F.col(row_id)], draw_number(F.col("_h"), 3),
                          {"_p": F.lit(1)}, [label])
     return pos.withColumn("split", F.when(
         F.col("_p") <= F.floor(F.col("_p_all") * frac), "train").otherwise("test")
@@ -183,15 +178,15 @@ def stratified_split(df: DataFrame, frac: float = 0.8, label: str = "label",
 def sample_stratified(df: DataFrame, n: int, label: str = "label", row_id: str = "row_id",
                       seed: int = 123) -> DataFrame:
     """n rows, half from each class where possible, topped up from the rest."""
-    out = df.withColumn("_h", hash_order([row_id], seed))
-    pos = running_totals(out, [F.col("_h"), F.col(row_id)], hash_bucket(F.col("_h")),
+    out = df.withColumn("_h", draw_key([row_id], seed))
+    pos = running_totals(out, [F.col("_h"), F.col(row_id)], draw_number(F.col("_h"), 3),
                          {"_p": F.lit(1)}, [label])
     first = F.when(F.col("_p") <= max(1, n // 2), 0).otherwise(1)
     return pos.orderBy(first, "_h", row_id).limit(n).drop("_h", "_p", "_p_all")
 
 
 def sample_n(df: DataFrame, n: int, row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    return df.orderBy(hash_order([row_id], seed), row_id).limit(n)
+    return df.orderBy(draw_key([row_id], seed), row_id).limit(n)
 
 
 def strata_report(eps: DataFrame, profile: str = "profile", split: str = "split",

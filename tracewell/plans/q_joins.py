@@ -191,9 +191,17 @@ def join_two_planes(spark, sf):
 
 # ---- sort, top-k, vocabularies, sets --------------------------------------------------------
 
-@query("op_sort_time", f"""WITH {V.AUDIT} SELECT audit_id, us FROM audit""")
+@query("op_sort_time", f"""WITH {V.AUDIT} SELECT audit_id, us, row_number() OVER (ORDER BY us, audit_id) - 1
+  AS place FROM audit""")
 def op_sort_time(spark, sf):
-    return N.time_order(V.audit(spark, sf).select("audit_id", "us"), ["us", "audit_id"])
+    """The rows with the place at which the sorted table holds them."""
+    from tracewell.operators.partition import range_totals
+    from tracewell.session import written_table
+    rows = written_table(N.time_order(V.audit(spark, sf).select("audit_id", "us"), ["us", "audit_id"])
+                         .withColumn("part", F.spark_partition_id())
+                         .withColumn("n", F.monotonically_increasing_id()), "sorted")
+    return range_totals(rows, [F.col("part"), F.col("n")], {"place": F.lit(1)}).select(
+        "audit_id", "us", (F.col("place") - 1).alias("place"))
 
 
 @query("op_onehot_topk", f"""WITH {V.AUDIT}, v AS (SELECT ns, row_number() OVER (ORDER BY count(*) DESC, ns)
@@ -323,34 +331,40 @@ def split_holdout_file(spark, sf):
         "row_id", F.col("by_order").alias("split"), F.col("split").alias("day_split"))
 
 
-@query("split_lho", f"""WITH {FLAB} SELECT y AS label, CAST(count(*) AS BIGINT) AS rows,
-  CAST(count(*) FILTER (WHERE y = 1 AND src_ip IN (SELECT src_ip FROM top3)) AS BIGINT) AS heavy_test
-  FROM fl GROUP BY y""")
+DRAW = "CAST('0x' || substr(md5('{seed}|' || CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT)"
+DRAWN = "md5('{seed}|' || CAST(row_id AS VARCHAR))"
+
+
+@query("split_lho", f"""WITH {FLAB} SELECT row_id, y AS label, CASE WHEN CASE WHEN y = 1
+    THEN src_ip IN (SELECT src_ip FROM top3) ELSE {DRAW.format(seed=42)} % 100 < 30 END
+  THEN 'test' ELSE 'train' END AS split FROM fl""")
 def split_lho(spark, sf):
-    df = SP.leave_heavy_hitter_out(labelled_flows(spark, sf), 3)
-    return df.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if((F.col("label") == 1) & (F.col("split") == "test")).alias("heavy_test"))
+    return SP.leave_heavy_hitter_out(labelled_flows(spark, sf), 3).select("row_id", "label", "split")
 
 
-@query("split_stratified", f"""WITH {FLAB} SELECT y AS label, CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS train,
-  CAST(count(*) - floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS test FROM fl GROUP BY y""")
+@query("split_stratified", f"""WITH {FLAB}, r AS (SELECT row_id, y, count(*) OVER (PARTITION BY y) AS n,
+    row_number() OVER (PARTITION BY y ORDER BY {DRAWN.format(seed=42)}, row_id) AS p FROM fl)
+  SELECT row_id, y AS label, CASE WHEN p <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+  FROM r""")
 def split_stratified(spark, sf):
-    return SP.stratified_split(labelled_flows(spark, sf)).groupBy("label").agg(
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "test").alias("test"))
+    return SP.stratified_split(labelled_flows(spark, sf)).select("row_id", "label", "split")
 
 
-@query("sample_stratified", f"""WITH {FLAB}, c AS (SELECT y, count(*) AS n FROM fl GROUP BY y)
-  SELECT y AS label, CAST(500 AS BIGINT) AS rows FROM c""")
+@query("sample_stratified", f"""WITH {FLAB}, r AS (SELECT row_id, y, {DRAWN.format(seed=123)} AS h,
+    row_number() OVER (PARTITION BY y ORDER BY {DRAWN.format(seed=123)}, row_id) AS p FROM fl
+    WHERE y = 1 OR row_id % 97 = 0)
+  SELECT row_id, y AS label FROM r
+  ORDER BY CASE WHEN p <= 500 THEN 0 ELSE 1 END, h, row_id LIMIT 1000""")
 def sample_stratified(spark, sf):
-    return SP.sample_stratified(labelled_flows(spark, sf), 1000).groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"))
+    """Few benign rows, so that attacks fill up the sample."""
+    rows = labelled_flows(spark, sf).where((F.col("label") == 1) | (F.col("row_id") % 97 == 0))
+    return SP.sample_stratified(rows, 1000).select("row_id", "label")
 
 
-@query("sample_n", "SELECT CAST(least(1000, count(*)) AS BIGINT) AS rows FROM lineitem")
+@query("sample_n", f"""WITH {V.FLOW} SELECT row_id FROM flow ORDER BY {DRAWN.format(seed=42)}, row_id
+  LIMIT 1000""")
 def sample_n(spark, sf):
-    return SP.sample_n(V.flows(spark, sf), 1000).agg(F.count(F.lit(1)).alias("rows"))
+    return SP.sample_n(V.flows(spark, sf), 1000).select("row_id")
 
 
 @query("split_assert_strata", f"""WITH {V.AUDIT}, e AS (SELECT DISTINCT session, actor, CASE

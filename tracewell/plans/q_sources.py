@@ -130,15 +130,16 @@ def src_csv_chunked(spark, sf):
                        F.col("packets_count").cast("double"), "label")
 
 
-@query("src_csv_union", f"""WITH {V.FLOW} SELECT row_id, src_ip, CAST(NULL AS DOUBLE) AS duration
-  FROM flow UNION ALL SELECT row_id, NULL, duration FROM flow""")
+@query("src_csv_union", f"""WITH {V.FLOW} SELECT row_id, src_ip, CAST(NULL AS DOUBLE) AS duration,
+  true AS has_file FROM flow UNION ALL SELECT row_id, NULL, duration, true FROM flow""")
 def src_csv_union(spark, sf):
     df = V.flows(spark, sf)
     a, b = scratch_path(spark, "a"), scratch_path(spark, "b")
     df.select("row_id", "src_ip").write.option("header", True).csv(a)
     df.select("row_id", "duration").write.option("header", True).csv(b)
     out = R.read_csv_union(spark, [a, b])
-    return out.select(F.col("row_id").cast("bigint"), "src_ip", F.col("duration").cast("double"))
+    return out.select(F.col("row_id").cast("bigint"), "src_ip", F.col("duration").cast("double"),
+                      F.col("source_file").endswith(".csv").alias("has_file"))
 
 
 @query("src_predictions", f"""WITH {V.PRED} SELECT component AS model, CAST(count(*) AS BIGINT) AS rows,
