@@ -51,7 +51,7 @@ def test_links_against_all_pairs_with_crowded_buckets(spark):
     edges = [(a, b) for i, a in enumerate(prints)
              for b in f[np.flatnonzero(np.bitwise_count(f[i + 1:] ^ f[i]) <= 3) + i + 1].tolist()]
     want = _roots(prints, edges)
-    df = spark.createDataFrame([(_signed(x),) for x in prints], "fp bigint")
+    df = spark.createDataFrame([(_signed(x), 0, _signed(x)) for x in prints], "fp bigint, check bigint, node bigint")
     for bucket in (2048, 8):
         found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in links(df, 3, bucket).collect()]
         assert set(found) <= {e for a, b in edges for e in ((a, b), (b, a))} | {
@@ -59,6 +59,30 @@ def test_links_against_all_pairs_with_crowded_buckets(spark):
         assert _roots(prints, found) == want
 
 
+def test_second_fingerprint_is_asked_too(spark):
+    rows = [(1, 0, 10), (3, 0, 11), (7, 0xFFFF, 12), (15, 0xFFFE, 13)]
+    df = spark.createDataFrame(rows, "fp bigint, check bigint, node bigint")
+    roots = _roots([10, 11, 12, 13], [(r["a"], r["b"]) for r in links(df, 3, check_bits=9).collect()])
+    assert roots == {10: 10, 11: 10, 12: 12, 13: 12}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(12)
+    texts, n = [], 0
+    for g in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        texts.append((n, " ".join(words), g))
+        n += 1
+        for _ in range(3):
+            near = list(words)
+            near[rng.randrange(len(near))] = "changed"
+            texts.append((n, " ".join(near), g))
+            n += 1
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, g int")
+    kept = keep_one_of_each(df).collect()
+    assert {r["g"] for r in kept} == set(range(30)) and len(kept) <= 33
+
+
 def test_fingerprint_by_hand():
     hashes = [xxhash.xxh64_intdigest(t, 42) for t in (b"a b c", b"b c d", b"c d e", b"d e f")]
     want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > 4)

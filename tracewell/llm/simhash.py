@@ -67,12 +67,18 @@ def simhash(hashes: np.ndarray) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprint(text: Column, size: int = SHINGLE) -> Column:
-    """The fingerprint of a whole text, as a signed 64-bit number."""
-    @F.arrow_udf(T.LongType())
+def fingerprints(text: Column, sizes: tuple[int, ...] = (SHINGLE,)) -> Column:
+    """The fingerprints of a whole text for some shingle sizes, as signed 64-bit numbers."""
+    names = [f"f{size}" for size in sizes]
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
     def of(col: pa.Array) -> pa.Array:
-        values = [simhash(shingle_hashes(lower_words(t), size)) for t in col.to_pylist()]
-        return pa.array(np.array(values, np.uint64).view(np.int64))
+        rows = np.zeros((len(col), len(sizes)), np.uint64)
+        for i, t in enumerate(col.to_pylist()):
+            tokens = lower_words(t)
+            rows[i] = [simhash(shingle_hashes(tokens, size)) for size in sizes]
+        return pa.StructArray.from_arrays(
+            [pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(len(sizes))], names)
 
     return of(text.cast("binary"))
 
@@ -108,10 +114,12 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[apart], j[apart]
 
 
-def linked_rows(group: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
+def linked_rows(group: np.ndarray, fp: np.ndarray, bits: int, check: np.ndarray | None = None,
+                check_bits: int = 64) -> np.ndarray:
     """Per row the first row of its group that it is linked to, directly or over others.
 
-    Rows are sorted by group, then by the distance to the first pivot.
+    Rows are sorted by group, then by the distance to the first pivot. ``check`` is a second
+    fingerprint that must agree up to ``check_bits``.
     """
     coords = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     label = np.arange(len(fp))
@@ -125,22 +133,25 @@ def linked_rows(group: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
         i = near[label[near] != label[near + step]]
         i = i[np.abs(coords[i] - coords[i + step]).max(axis=1, initial=0) <= bits]
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= bits]
+        if check is not None:
+            i = i[np.bitwise_count(check[i] ^ check[i + step]) <= check_bits]
         _join_labels(label, i, i + step)
     return label
 
 
-def _links(bits: int):
+def _links(bits: int, check_bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("mask", "key", "fp")
+        names = ("mask", "key", "fp", "check", "node")
         held = {c: np.zeros(0, np.int64) for c in names}
 
         def found(rows):
             new = np.ones(len(rows["fp"]), bool)
             new[1:] = (rows["mask"][1:] != rows["mask"][:-1]) | (rows["key"][1:] != rows["key"][:-1])
-            label = linked_rows(np.cumsum(new), rows["fp"].view(np.uint64), bits)
+            label = linked_rows(np.cumsum(new), rows["fp"].view(np.uint64), bits,
+                                rows["check"].view(np.uint64), check_bits)
             at = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_pydict(
-                {"a": pa.array(rows["fp"][at]), "b": pa.array(rows["fp"][label[at]])})
+                {"a": pa.array(rows["node"][at]), "b": pa.array(rows["node"][label[at]])})
 
         for batch in batches:
             rows = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)])
@@ -154,11 +165,16 @@ def _links(bits: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Links (``a``, ``b``) whose components are those of all links of the distinct ``fp``."""
+def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET, check_bits: int = 64) -> DataFrame:
+    """Links (``a``, ``b``) of nodes whose components are those of all links.
+
+    ``nodes`` has ``node`` (its number), ``fp`` and ``check``, distinct.
+    """
+    held = ["fp", "check", "node"]
+
     def keyed(df, masks):
-        return df.select(F.explode(masks).alias("mask"), "fp").select(
-            "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        return df.select(F.explode(masks).alias("mask"), *held).select(
+            "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), *held)
 
     masks, parts = table_masks(bits), []
     level = keyed(nodes, F.array(*[F.lit(_signed(m)) for m in masks]))
@@ -176,33 +192,50 @@ def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
             [(_signed(m), [_signed(x) for x in ms]) for m, ms in finer.items()],
             "mask bigint, finer array<bigint>")
         level = level.join(crowded, ["mask", "key"]).join(F.broadcast(split), "mask")
-        level = written_table(keyed(level.select("finer", "fp"), F.col("finer")).distinct(), "finer")
+        level = written_table(keyed(level.select("finer", *held), F.col("finer")).distinct(), "finer")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(PIVOTS[0])))))
     return (every.repartition("mask", "key").sortWithinPartitions("mask", "key", first)
-            .mapInArrow(_links(bits), "a bigint, b bigint"))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    bits: int = BITS, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp``, ``text_hash``, ``root`` (the component's fingerprint), ``component_id``."""
-    prints = written_table(
-        docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), size).alias("fp"),
-                    F.xxhash64(text).alias("text_hash")), "prints")
-    nodes = written_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = nodes.join(components(links(nodes, bits)), nodes["fp"] == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+            .mapInArrow(_links(bits, check_bits), "a bigint, b bigint"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS,
+                    size: int = SHINGLE, check_size: int | None = None, check_bits: int = 64) -> DataFrame:
+    """``doc_id``, ``fp``, ``text_hash``, ``root`` (the component's first node), ``component_id``.
+
+    With ``check_size`` a second fingerprint, over shingles of that size, must agree up to
+    ``check_bits`` as well.
+    """
+    sizes = (size,) if check_size is None else (size, check_size)
+    read = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), sizes).alias("f"),
+                       F.xxhash64(text).alias("text_hash"))
+    fp = F.col(f"f.f{size}")
+    check = F.lit(0).cast("bigint") if check_size is None else F.col(f"f.f{check_size}")
+    node = fp if check_size is None else F.xxhash64(fp, check)
+    prints = written_table(read.select("doc_id", fp.alias("fp"), check.alias("check"), "text_hash",
+                                       node.alias("node")), "prints")
+    nodes = written_table(prints.groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("check").alias("check")), "nodes")
+    linked = components(links(nodes, bits, check_bits=check_bits)).withColumnRenamed("node", "linked")
+    roots = nodes.join(linked, F.col("node") == F.col("linked"), "left").select(
+        "node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.select("fp", "root").join(ids, "root")
-    return prints.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+    named = roots.select("node", "root").join(ids, "root")
+    return prints.join(named, "node").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     bits: int = BITS, size: int = SHINGLE) -> DataFrame:
-    """The documents that come first in their component, with all their columns."""
-    found = near_duplicates(docs, doc_id, text, bits, size)
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 6,
+                     size: int = 2, check_size: int = 5, check_bits: int = 9) -> DataFrame:
+    """The documents that come first in their component, with all their columns.
+
+    Near copies are documents with a similarity of 0.8 or more over five-word shingles, estimated by
+    their five-word fingerprints: with d of 64 bits apart the cosine is about cos(pi d / 64), which for
+    9 bits stands for a Jaccard similarity of 0.82. Such pairs are searched by fingerprints over word
+    pairs, which an edit changes less; at most 6 of their bits differ.
+    """
+    found = near_duplicates(docs, doc_id, text, bits, size, check_size, check_bits)
     key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
     firsts = found.select("root", "doc_id", key(F.col("doc_id"), F.col("text_hash")).alias("key")).groupBy(
         "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
