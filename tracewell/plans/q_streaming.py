@@ -139,9 +139,9 @@ def str_episode_alert(spark, sf):
     return spark.read.parquet(out).select("session", "actor", "fired", "max_prob")
 
 
-@query("str_score")
+@query("str_score", f"WITH {V.AUDIT} SELECT audit_id, true AS as_in_batch FROM audit")
 def str_score(spark, sf):
-    """A model fitted on batch features scores the feature stream."""
+    """A model fitted on batch features scores the feature stream; the batch scores it alike."""
     from tracewell.models import learners as L
     from tracewell.plans.q_models import FEATS, prepared, train_table
     model = L.fit_tabular(train_table(prepared(spark, sf)), FEATS, L.gbt(5))
@@ -149,7 +149,10 @@ def str_score(spark, sf):
     table = history(spark, sf).select("audit_id", *FEATS)
     table.write.parquet(feats)
     stream = spark.readStream.schema(table.schema).parquet(feats)
-    return drain(spark, L.score(model, stream).select("audit_id", "prob"), "scores")
+    live = drain(spark, L.score(model, stream).select("audit_id", "prob"), "scores")
+    batch = L.score(model, spark.read.schema(table.schema).parquet(feats)).select(
+        "audit_id", F.col("prob").alias("again"))
+    return live.join(batch, "audit_id").select("audit_id", (F.col("prob") == F.col("again")).alias("as_in_batch"))
 
 
 @query("str_incident_session", f"""WITH {ALERTS}, lg AS (SELECT *, us - lag(us) OVER (PARTITION BY actor
