@@ -122,8 +122,11 @@ def _counts(text: pa.Array) -> pa.Array:
 
 
 def count_text(text: Column) -> Column:
-    """A struct of the ``COUNTS`` of a text."""
-    return _counts(text.cast("binary"))
+    """A struct of the ``COUNTS`` of a text.
+
+    Marked as nondeterministic so that a filter on it isn't moved below, which would count twice.
+    """
+    return _counts.asNondeterministic()(text.cast("binary"))
 
 
 def base_failed(c: Column) -> Column:
