@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import schemas
@@ -214,17 +214,25 @@ def category_label(part: Column, label: Column, user: Column) -> Column:
 
 def onehot_topk(df: DataFrame, column: str, k: int, ids: list[str]) -> DataFrame:
     """One-hot of the k most frequent values plus ``=other``; ties go to the smaller value."""
-    values = top_values(df, column, k)
+    values = top_values(df, {column: k})[column]
     cols = {f"{column}={v or 'none'}": flag(F.col(column) == v) for v in values}
     cols[f"{column}=other"] = flag(~F.col(column).isin(values)) if values else F.lit(1)
     return df.select(*ids, *[c.alias(n) for n, c in cols.items()])
 
 
-def top_values(df: DataFrame, column: str, k: int) -> list[str]:
-    """At most k values, counted in Spark; only those k reach the driver."""
-    rows = (df.groupBy(column).count().orderBy(F.desc("count"), column).limit(k)
-            .select(column).collect())
-    return [r[0] for r in rows]
+def top_values(df: DataFrame, widths: dict[str, int]) -> dict[str, list[str]]:
+    """The most frequent values of each column, all counted in one pass; only they reach the driver."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for c in widths]))
+    counted = df.select(pairs.alias("p")).groupBy("p.column", "p.value").count()
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for item in widths.items() for x in item]), F.col("column"))
+    rows = counted.withColumn("place", place).where(
+        (F.col("place") <= max(widths.values())) & (F.col("place") <= limit)).orderBy("column", "place")
+    out: dict[str, list[str]] = {c: [] for c in widths}
+    for r in rows.collect():
+        out[r["column"]].append(r["value"])
+    return out
 
 
 def tabular_features(df: DataFrame, widths: dict[str, int] = K.ONEHOT_WIDTH) -> DataFrame:
@@ -233,10 +241,8 @@ def tabular_features(df: DataFrame, widths: dict[str, int] = K.ONEHOT_WIDTH) ->
 
     timed = time_features(df, ["actor"])
     cols: dict[str, Column] = {}
-    for name, width in widths.items():
-        if name not in df.columns:
-            continue
-        values = top_values(df, name, width)
+    widths = {name: width for name, width in widths.items() if name in df.columns}
+    for name, values in (top_values(df, widths) if widths else {}).items():
         for v in values:
             cols[f"{name}={v or 'none'}"] = flag(F.col(name) == v)
         cols[f"{name}=other"] = flag(~F.col(name).isin(values)) if values else F.lit(1)

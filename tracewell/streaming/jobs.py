@@ -53,11 +53,9 @@ def incident_sessions(stream: DataFrame, gap: str = "60 seconds", lateness: str
                       ts: str = "ts") -> DataFrame:
     """Live incident grouping; an incident is emitted when the watermark passes its end.
 
-    Sessions are merged inside each input partition first, so a busy actor costs one row per
-    partition and session in the shuffle.
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set for the session,
+    a busy actor costs one row per partition and session in the shuffle.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (stream.withWatermark(ts, lateness)
             .groupBy("actor", F.session_window(ts, gap).alias("w"))
             .agg(F.count(F.lit(1)).alias("n_alerts"), F.max("raw_score").alias("base_score"),

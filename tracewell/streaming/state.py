@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import flag
 from tracewell.operators import windows as W
+from tracewell.session import remove_path
 
 
 class TableState:
-    """Versioned table below ``root``; ``read(batch)`` gives the version before that batch."""
+    """Versioned table below ``root``; ``read(batch)`` gives the version before that batch.
+
+    Only the versions that a retry can still ask for are kept: the one before the batch and its own.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
@@ -31,6 +35,7 @@ class TableState:
     def write(self, df: DataFrame, batch: int) -> None:
         names = [f.split()[0] for f in self.schema.split(", ")]
         df.select(*names).write.mode("overwrite").parquet(f"{self.root}/v={batch}")
+        remove_path(self.spark, f"{self.root}/v={batch - 2}")
 
 
 EVENT_FIELDS = ("audit_id bigint, ts timestamp, us bigint, session bigint, actor string, "
