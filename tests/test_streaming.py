@@ -98,3 +98,12 @@ def test_live_incidents_equal_batch_incidents(spark, tmp_path):
     closed = batch.where(F.col("end_us") + minute <= 3600_000_000 - 15 * minute)
     cols = ["actor", "start_us", "end_us", "n_alerts", "n_hints"]
     assert sorted(map(tuple, live.select(cols).collect())) == sorted(map(tuple, closed.select(cols).collect()))
+
+
+def test_old_state_versions_go(spark, tmp_path):
+    rows = sorted(random_events(120, 13), key=lambda r: r[1])
+    job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"))
+    for i in range(4):
+        job.process(spark.createDataFrame(rows[i * 30:(i + 1) * 30], EVENT_SCHEMA), i)
+    for name in ("tail", "sums"):
+        assert sorted(p.name for p in (tmp_path / "state" / name).iterdir()) == ["v=2", "v=3"]
