@@ -17,7 +17,7 @@ from tracewell.session import scratch_path
 from tracewell.sources.readers import parse_json_lines, stream_json
 from tracewell.sources.writers import write_alerts
 from tracewell.streaming import jobs as S
-from tracewell.streaming.state import ActorHistory, EpisodeAlerts
+from tracewell.streaming.state import ActorHistory, EpisodeAlerts, LiveAlerts
 
 
 def event_stream(spark, sf):
@@ -119,10 +119,14 @@ def str_token_stream(spark, sf):
 SCORED = f"{Q.FEATURES}, sc AS (SELECT *, CAST({Q.SCORE} AS DOUBLE) AS prob FROM feat)"
 
 
-def scored_history(spark, sf):
+def with_prob(df):
     score = (F.col("severity") * 7 + F.col("n_forbid") * 3 + F.col("n_delete") * 5
              + F.col("k") % 10) / 130.0
-    return history(spark, sf).withColumn("prob", score.cast("double"))
+    return df.withColumn("prob", score.cast("double"))
+
+
+def scored_history(spark, sf):
+    return with_prob(history(spark, sf))
 
 
 @query("str_episode_alert", f"""WITH {SCORED} SELECT session, actor,
@@ -139,6 +143,45 @@ def str_episode_alert(spark, sf):
     return spark.read.parquet(out).select("session", "actor", "fired", "max_prob")
 
 
+def live_alerts(spark, sf):
+    out = scratch_path(spark, "live")
+    job = LiveAlerts(spark, scratch_path(spark, "state"), out, with_prob)
+    events = S.dedup(audit_stream(spark, sf).withColumn("audit_key", F.col("audit_id").cast("string")))
+    S.run_batches(events, job.process, scratch_path(spark, "cp"))
+    return out
+
+
+_REASONS = {"rule_f": "has_crb >= 1 OR has_exec >= 1 OR has_impersonation >= 1 OR (has_secret >= 1 AND secret_ns >= 2)",
+            "rule_recon": "n_selfreview >= 5", "rule_destruct": "n_delete >= 5",
+            "rule_hijack": "n_create_workload >= 1", "rule_persist": "has_csr >= 1 OR has_tokenreq >= 1"}
+_REASONS["rule_anom"] = " OR ".join(f"({v})" for n, v in _REASONS.items() if n != "rule_f")
+LIVE = f"""{SCORED}, la AS (SELECT session, actor, CAST(count(*) FILTER (WHERE prob >= 0.5) AS BIGINT) AS n_windows_fired,
+    max(prob) AS max_prob, arg_max(verb, ROW(us, audit_id)) AS last_verb,
+    arg_max(resource, ROW(us, audit_id)) AS last_resource,
+    concat_ws(' ', {', '.join(f"CASE WHEN bool_or({c}) THEN '{n}' END" for n, c in _REASONS.items())}) AS reasons
+    FROM sc GROUP BY session, actor HAVING count(*) FILTER (WHERE prob >= 0.5) >= 2),
+  lb AS (SELECT *, CASE WHEN max_prob >= 0.95 THEN 'CRITICAL' WHEN max_prob >= 0.85 THEN 'HIGH'
+    WHEN max_prob >= 0.70 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM la)"""
+
+
+@query("str_live_alerts", f"WITH {LIVE} SELECT * FROM lb", rounded=("max_prob",))
+def str_live_alerts(spark, sf):
+    """Dedup, history, score, K-of-window alert and its record, in one job."""
+    return spark.read.parquet(f"{live_alerts(spark, sf)}/alerts").drop("batch").withColumn(
+        "reasons", F.array_join("reasons", " "))
+
+
+@query("sink_live_counters", f"""WITH {LIVE} SELECT 'alerts_by_severity' AS metric, severity AS label,
+    CAST(count(*) AS BIGINT) AS value FROM lb GROUP BY severity
+  UNION ALL SELECT 'alerts_by_reason', r, CAST(count(*) AS BIGINT) FROM lb, UNNEST(string_split(reasons, ' ')) AS u(r)
+    WHERE r <> '' GROUP BY r
+  UNION ALL SELECT 'active_actors', '', CAST(count(DISTINCT actor) AS BIGINT) FROM audit""")
+def sink_live_counters(spark, sf):
+    """Alerts by severity and reason and active actors, written by the same job."""
+    return spark.read.parquet(f"{live_alerts(spark, sf)}/counters").groupBy("metric", "label").agg(
+        F.sum("value").alias("value"))
+
+
 @query("str_score", f"WITH {V.AUDIT} SELECT audit_id, true AS as_in_batch FROM audit")
 def str_score(spark, sf):
     """A model fitted on batch features scores the feature stream; the batch scores it alike."""

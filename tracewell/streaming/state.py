@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import constants as K
-from tracewell.functions.scalars import flag
+from tracewell.functions.scalars import flag, severity_band
 from tracewell.operators import windows as W
+from tracewell.operators.rules import window_signals
 from tracewell.session import remove_path
 
 
@@ -121,3 +122,42 @@ class EpisodeAlerts:
         touched.where(due).select(*self.keys, "fired", "max_prob").write.mode(
             "overwrite").parquet(f"{self.out}/batch={batch_id}")
         self.state.write(total.withColumn("alerted", F.col("alerted") | hit), batch_id)
+
+
+class LiveAlerts:
+    """From events to alert records in one job, per micro-batch.
+
+    Events go through ``ActorHistory``, ``score`` adds ``prob`` to the feature rows, and episodes whose
+    fired windows reach K give an alert with its severity, the rules that explain it and the last event
+    seen. Counters of the batch (alerts by severity and by reason, active actors) are written beside.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, out: str, score, keys: list[str] = W.GROUP, **kw):
+        self.spark, self.out, self.score, self.keys = spark, out, score, keys
+        self.history = ActorHistory(spark, f"{root}/history", f"{out}/features", keys)
+        self.episodes = EpisodeAlerts(spark, f"{root}/episodes", f"{out}/episodes", keys, **kw)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        self.history.process(batch, batch_id)
+        part = f"batch={batch_id}"
+        rows = self.score(self.spark.read.parquet(f"{self.out}/features/{part}"))
+        self.episodes.process(rows, batch_id)
+        due = self.spark.read.parquet(f"{self.out}/episodes/{part}")
+        seen = rows.groupBy(*self.keys).agg(
+            F.max_by(F.struct("verb", "resource"), F.struct("us", "audit_id")).alias("last"),
+            *[F.bool_or(cond).alias(f"_r_{name}") for name, cond in window_signals().items()])
+        reasons = F.array_compact(F.array(*[F.when(F.col(f"_r_{n}"), n) for n in window_signals()]))
+        alerts = due.join(seen, self.keys).select(
+            *self.keys, F.col("fired").alias("n_windows_fired"), "max_prob",
+            severity_band(F.col("max_prob")).alias("severity"), reasons.alias("reasons"),
+            F.col("last.verb").alias("last_verb"), F.col("last.resource").alias("last_resource"))
+        alerts.write.mode("overwrite").parquet(f"{self.out}/alerts/{part}")
+        alerts = self.spark.read.schema(alerts.schema).parquet(f"{self.out}/alerts/{part}")
+        count = F.count(F.lit(1)).alias("value")
+        counters = (
+            alerts.groupBy(F.lit("alerts_by_severity").alias("metric"), F.col("severity").alias("label")).agg(count)
+            .unionByName(alerts.select(F.explode("reasons").alias("label")).groupBy(
+                F.lit("alerts_by_reason").alias("metric"), "label").agg(count))
+            .unionByName(batch.agg(F.count_distinct("actor").alias("value")).select(
+                F.lit("active_actors").alias("metric"), F.lit("").alias("label"), "value")))
+        counters.write.mode("overwrite").parquet(f"{self.out}/counters/{part}")
