@@ -100,10 +100,18 @@ def test_live_incidents_equal_batch_incidents(spark, tmp_path):
     assert sorted(map(tuple, live.select(cols).collect())) == sorted(map(tuple, closed.select(cols).collect()))
 
 
-def test_old_state_versions_go(spark, tmp_path):
+def test_only_touched_state_is_rewritten_and_old_versions_go(spark, tmp_path):
     rows = sorted(random_events(120, 13), key=lambda r: r[1])
     job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"))
     for i in range(4):
         job.process(spark.createDataFrame(rows[i * 30:(i + 1) * 30], EVENT_SCHEMA), i)
-    for name in ("tail", "sums"):
-        assert sorted(p.name for p in (tmp_path / "state" / name).iterdir()) == ["v=2", "v=3"]
+    for state in (job.tail, job.sums):
+        assert all(len(v) <= 2 for v in state.versions().values())
+    before = sorted(map(tuple, job.sums.read(4).collect()))
+    lone = spark.createDataFrame([rows[0]], EVENT_SCHEMA)
+    touched = job.sums.touched(lone)
+    job.process(lone, 4)
+    assert len(touched) == 1
+    assert [b for b, v in job.sums.versions().items() if 4 in v] == touched
+    after = sorted(map(tuple, job.sums.read(5).collect()))
+    assert len(after) == len(before) and sum(a != b for a, b in zip(after, before)) == 1

@@ -52,10 +52,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of ours in whatever store it lies; nothing happens if it isn't there."""
+def _store(spark: SparkSession, path: str):
+    """The store that a path of ours lies in, and the path there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    store, target = _store(spark, pattern)
+    return [f.getPath().toString() for f in store.globStatus(target) or []]
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    store, target = _store(spark, path)
+    store.mkdirs(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours; nothing happens if it isn't there."""
+    store, target = _store(spark, path)
+    store.delete(target, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

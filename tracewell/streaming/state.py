@@ -1,4 +1,4 @@
-"""Per-key state kept as tables in the shared folder, one version per micro-batch.
+"""Per-key state kept as tables in the shared folder, versioned by micro-batch and bucket of keys.
 
 The per-actor history of a stream is the last events plus running totals. Keeping it as a table
 and running each micro-batch through the batch window code has two effects: live and batch
@@ -16,27 +16,51 @@ from tracewell.functions import constants as K
 from tracewell.functions.scalars import flag, severity_band
 from tracewell.operators import windows as W
 from tracewell.operators.rules import window_signals
-from tracewell.session import remove_path
+from tracewell.session import list_paths, make_folder, remove_path
 
 
 class TableState:
-    """Versioned table below ``root``; ``read(batch)`` gives the version before that batch.
+    """Keyed table below ``root``, cut into buckets of keys; a batch rewrites only the buckets it touches.
 
-    Only the versions that a retry can still ask for are kept: the one before the batch and its own.
+    A bucket's version is named by the batch that wrote it; ``read`` gives, per bucket, the last version
+    before the batch. Per bucket the versions that a retry can still ask for are kept: the last one
+    before the batch and the batch's own.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], buckets: int = 64):
         self.spark, self.root, self.schema = spark, root, schema
-
-    def read(self, batch: int) -> DataFrame:
-        if batch == 0:
+        self.bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+    def touched(self, new: DataFrame) -> list[int]:
+        """The buckets that a batch falls into; there are at most ``buckets``."""
+        return sorted(r[0] for r in new.select(self.bucket).distinct().collect())
+
+    def versions(self) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for path in list_paths(self.spark, f"{self.root}/v=*/b=*"):
+            version, bucket = (int(x.split("=")[1]) for x in path.rsplit("/", 2)[1:])
+            out.setdefault(bucket, []).append(version)
+        return {b: sorted(v) for b, v in out.items()}
+
+    def read(self, batch: int, touched: list[int] | None = None) -> DataFrame:
+        paths = []
+        for bucket, versions in sorted(self.versions().items()):
+            before = [v for v in versions if v < batch]
+            if before and (touched is None or bucket in touched):
+                paths.append(f"{self.root}/v={before[-1]}/b={bucket}")
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={batch - 1}")
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def write(self, df: DataFrame, batch: int) -> None:
+    def write(self, df: DataFrame, batch: int, touched: list[int]) -> None:
         names = [f.split()[0] for f in self.schema.split(", ")]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.root}/v={batch}")
-        remove_path(self.spark, f"{self.root}/v={batch - 2}")
+        path = f"{self.root}/v={batch}"
+        df.select(*names, self.bucket.alias("b")).write.mode("overwrite").partitionBy("b").parquet(path)
+        for bucket in touched:  # a bucket that became empty is a version, too
+            make_folder(self.spark, f"{path}/b={bucket}")
+        for bucket, versions in self.versions().items():
+            for old in [v for v in versions if v < batch][:-1]:
+                remove_path(self.spark, f"{self.root}/v={old}/b={bucket}")
 
 
 EVENT_FIELDS = ("audit_id bigint, ts timestamp, us bigint, session bigint, actor string, "
@@ -52,33 +76,34 @@ class ActorHistory:
                  idle_us: int | None = None, **split):
         self.out, self.keys, self.size, self.split = out, keys, size, split
         self.with_tokens, self.idle_us = with_tokens, idle_us
-        self.tail = TableState(spark, f"{root}/tail", EVENT_FIELDS)
+        self.tail = TableState(spark, f"{root}/tail", EVENT_FIELDS, keys)
         names = ", ".join(f"{k} {'bigint' if k == 'session' else 'string'}" for k in keys)
         sums = ", ".join(f"cum_{c} bigint" for c in W.CUMULATIVE)
-        self.sums = TableState(spark, f"{root}/sums", f"{names}, {sums}, last_us bigint")
+        self.sums = TableState(spark, f"{root}/sums", f"{names}, {sums}, last_us bigint", keys)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         fields = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
         new = batch.select(*fields).withColumn("_old", F.lit(False))
-        old = self.tail.read(batch_id).withColumn("_old", F.lit(True))
+        touched = self.tail.touched(new)
+        old = self.tail.read(batch_id, touched).withColumn("_old", F.lit(True))
         both = old.unionByName(new)
         if self.with_tokens:
             rows = W.token_windows(both, self.keys, self.size, context="_old", **self.split)
         else:
-            rows = self._features(both, batch_id)
+            rows = self._features(both, batch_id, touched)
         rows.drop("_old").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        self._advance(both, new, batch_id)
+        self._advance(both, new, batch_id, touched)
 
-    def _features(self, both: DataFrame, batch_id: int) -> DataFrame:
+    def _features(self, both: DataFrame, batch_id: int, touched: list[int]) -> DataFrame:
         rows = W.window_features(both, self.keys, self.size, context="_old", **self.split)
-        before = self.sums.read(batch_id).select(
+        before = self.sums.read(batch_id, touched).select(
             *self.keys, *[F.col(f"cum_{c}").alias(f"_b_{c}") for c in W.CUMULATIVE])
         rows = rows.join(before, self.keys, "left")
         return rows.withColumns({
             f"cum_{c}": F.col(f"cum_{c}") + F.coalesce(f"_b_{c}", F.lit(0)) for c in W.CUMULATIVE
         }).drop(*[f"_b_{c}" for c in W.CUMULATIVE])
 
-    def _advance(self, both: DataFrame, new: DataFrame, batch_id: int) -> None:
+    def _advance(self, both: DataFrame, new: DataFrame, batch_id: int, touched: list[int]) -> None:
         # A row_number limit is applied before the shuffle too, so a busy actor sends few rows.
         newest = Window.partitionBy(*self.keys).orderBy(F.desc("us"), F.desc("audit_id"))
         tail = both.withColumn("_rn", F.row_number().over(newest)).where(
@@ -86,7 +111,7 @@ class ActorHistory:
         fresh = new.groupBy(*self.keys).agg(
             *[F.sum(flag(make())).cast("bigint").alias(f"cum_{c}")
               for c, make in W.CUMULATIVE.items()], F.max("us").alias("last_us"))
-        sums = self.sums.read(batch_id).unionByName(fresh).groupBy(*self.keys).agg(
+        sums = self.sums.read(batch_id, touched).unionByName(fresh).groupBy(*self.keys).agg(
             *[F.sum(f"cum_{c}").alias(f"cum_{c}") for c in W.CUMULATIVE],
             F.max("last_us").alias("last_us"))
         if self.idle_us is not None:
@@ -94,8 +119,8 @@ class ActorHistory:
             if now is not None:
                 sums = sums.where(F.col("last_us") > now - self.idle_us)
             tail = tail.join(sums.select(*self.keys), self.keys, "left_semi")
-        self.tail.write(tail, batch_id)
-        self.sums.write(sums, batch_id)
+        self.tail.write(tail, batch_id, touched)
+        self.sums.write(sums, batch_id, touched)
 
 
 class EpisodeAlerts:
@@ -107,13 +132,14 @@ class EpisodeAlerts:
         self.k, self.re_alert = k, re_alert
         names = ", ".join(f"{x} {'bigint' if x == 'session' else 'string'}" for x in keys)
         self.state = TableState(spark, f"{root}/episodes",
-                                f"{names}, fired bigint, max_prob double, alerted boolean")
+                                f"{names}, fired bigint, max_prob double, alerted boolean", keys)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         fresh = batch.groupBy(*self.keys).agg(
             F.count_if(F.col("prob") >= self.threshold).alias("fired"),
             F.max("prob").alias("max_prob"), F.lit(False).alias("alerted"))
-        total = self.state.read(batch_id).unionByName(fresh).groupBy(*self.keys).agg(
+        seen = self.state.touched(batch)
+        total = self.state.read(batch_id, seen).unionByName(fresh).groupBy(*self.keys).agg(
             F.sum("fired").alias("fired"), F.max("max_prob").alias("max_prob"),
             F.bool_or("alerted").alias("alerted"))
         hit = F.col("fired") >= self.k
@@ -121,7 +147,7 @@ class EpisodeAlerts:
         due = hit if self.re_alert else hit & ~F.col("alerted")
         touched.where(due).select(*self.keys, "fired", "max_prob").write.mode(
             "overwrite").parquet(f"{self.out}/batch={batch_id}")
-        self.state.write(total.withColumn("alerted", F.col("alerted") | hit), batch_id)
+        self.state.write(total.withColumn("alerted", F.col("alerted") | hit), batch_id, seen)
 
 
 class LiveAlerts:
