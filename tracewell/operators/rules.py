@@ -71,14 +71,19 @@ def keyword_rule(tokens: str = "tokens", short: bool = False) -> Column:
     return F.arrays_overlap(F.col(tokens), F.array(*[F.lit(t) for t in words]))
 
 
-def best_single_threshold(df: DataFrame, feature: str, positive: Column, negative: Column,
-                          bucket: Column | None = None) -> DataFrame:
-    """Threshold of one feature with the highest recall minus FPR; lowest on ties."""
-    rows = df.withColumns({"_y": F.when(positive, 1).when(negative, 0),
-                           "_x": F.col(feature).cast("double")}).where(F.col("_y").isNotNull())
-    pts = score_points(rows, "_x", "_y", bucket=F.floor("_x") if bucket is None else bucket)
+REVIEW_FEATURES = ["n_selfreview", "selfreview_ratio"]
+
+
+def best_single_threshold(df: DataFrame, features: list[str], positive: Column, negative: Column
+                          ) -> DataFrame:
+    """Per feature the threshold with the highest recall minus FPR; lowest on ties. One pass for all."""
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x"))
+                               for f in features])).alias("_f")
+    rows = df.withColumn("_y", F.when(positive, 1).when(negative, 0)).where(
+        F.col("_y").isNotNull()).select("_y", long).select("_y", "_f.*")
+    pts = score_points(rows, "_x", "_y", ["feature"], bucket=F.floor(F.col("_x") * 1000))
     rec, fpr = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg")
-    return pts.select(F.lit(feature).alias("feature"), "threshold", rec.alias("recall"),
+    return pts.select("feature", "threshold", rec.alias("recall"),
                       fpr.alias("fpr"), (rec - fpr).alias("gain")).groupBy("feature").agg(
         F.max_by(F.struct("threshold", "recall", "fpr"),
                  F.struct("gain", -F.col("threshold"))).alias("_b")).select("feature", "_b.*")
@@ -94,13 +99,18 @@ def baseline_rates(df: DataFrame) -> DataFrame:
     for name, p in preds.items():
         aggs += [F.avg(F.when(recon, flag(p))).alias(f"{name}_recall"),
                  F.avg(F.when(benign, flag(p))).alias(f"{name}_fpr")]
-    return df.agg(*aggs, F.avg(flag((F.col("prob") >= 0.5) == (F.col("n_selfreview") >= 1)))
-                  .alias("agreement"))
+    reviewing = benign & preds["presence"]
+    return df.agg(*aggs, F.avg(flag(preds["model"] == preds["presence"])).alias("agreement"),
+                  F.avg(F.when(reviewing, flag(~preds["model"]))).alias("reviewers_spared"))
 
 
-def leakage_gate(rates: DataFrame, best_recall: float) -> DataFrame:
-    """PASS when the model beats presence and single features and is not a lookup of presence."""
-    return rates.withColumn("verdict", F.when(
+def leakage_gate(rates: DataFrame, singles: DataFrame) -> DataFrame:
+    """PASS when the model beats presence and the best single feature and is no lookup of presence.
+
+    Both tables are small: one row, and one row per feature.
+    """
+    best_recall = F.lit(singles.agg(F.max("recall")).first()[0])
+    return rates.withColumn("best_single_recall", best_recall).withColumn("verdict", F.when(
         (F.col("model_fpr") < F.col("presence_fpr") - 0.03)
         & (F.col("model_recall") >= best_recall - 0.02)
         & (F.col("agreement") < 0.95), "PASS").otherwise("FAIL"))

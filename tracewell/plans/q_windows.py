@@ -222,15 +222,23 @@ def rule_keyword(spark, sf):
         RU.keyword_rule(short=True).alias("distinctive"))
 
 
-@query("rule_single_feature", f"""WITH {Q.LABELLED}, r AS (SELECT CAST(n_selfreview AS DOUBLE) AS x,
-    CASE WHEN contains(actor, 'recon-sa') THEN 1 WHEN label = 0 THEN 0 END AS y FROM lab1),
-  rr AS (SELECT x AS prob, y AS label FROM r WHERE y IS NOT NULL), {Q.points_cte('rr')},
-  g AS (SELECT *, tp / pos AS rec, fp / neg AS f, tp / pos - fp / neg AS gain FROM pts)
-  SELECT 'n_selfreview' AS feature, threshold, rec AS recall, f AS fpr FROM g
-  ORDER BY gain DESC, threshold ASC LIMIT 1""")
+SINGLE = f"""{Q.LABELLED}, sy AS (SELECT *, CASE WHEN contains(actor, 'recon-sa') THEN 1
+    WHEN label = 0 THEN 0 END AS y FROM lab1),
+  rr AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS prob, y AS label FROM sy WHERE y IS NOT NULL"
+                             for f in RU.REVIEW_FEATURES)}), {Q.points_cte('rr', 'feature')},
+  sg AS (SELECT *, tp / pos AS rec, fp / neg AS f, row_number() OVER (PARTITION BY feature
+    ORDER BY tp / pos - fp / neg DESC, threshold) AS rn FROM pts),
+  single AS (SELECT feature, threshold, rec AS recall, f AS fpr FROM sg WHERE rn = 1)"""
+
+
+def single_features(df):
+    return RU.best_single_threshold(df, RU.REVIEW_FEATURES, F.col("user").contains("recon-sa"),
+                                    F.col("label") == 0)
+
+
+@query("rule_single_feature", f"WITH {SINGLE} SELECT * FROM single")
 def rule_single_feature(spark, sf):
-    return RU.best_single_threshold(scored_windows(spark, sf), "n_selfreview",
-                                    F.col("user").contains("recon-sa"), F.col("label") == 0)
+    return single_features(scored_windows(spark, sf))
 
 
 def _rate(p, cond):
@@ -246,12 +254,15 @@ _RATES = ", ".join(
     f"{_rate(p, 'label = 0')} AS {n}_fpr" for n, p in _BASE.items())
 
 
-@query("rule_leakage_gate", f"""WITH {Q.LABELLED}, b AS (SELECT {_RATES},
-    avg(CAST((prob >= 0.5) = (n_selfreview >= 1) AS INT)) AS agreement FROM lab1)
-  SELECT *, CASE WHEN model_fpr < presence_fpr - 0.03 AND model_recall >= 0.5 - 0.02
+@query("rule_leakage_gate", f"""WITH {SINGLE}, b AS (SELECT {_RATES},
+    avg(CAST((prob >= 0.5) = (n_selfreview >= 1) AS INT)) AS agreement,
+    avg(CASE WHEN label = 0 AND n_selfreview >= 1 THEN CAST(prob < 0.5 AS INT) END) AS reviewers_spared,
+    (SELECT max(recall) FROM single) AS best_single_recall FROM lab1)
+  SELECT *, CASE WHEN model_fpr < presence_fpr - 0.03 AND model_recall >= best_single_recall - 0.02
     AND agreement < 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM b""")
 def rule_leakage_gate(spark, sf):
-    return RU.leakage_gate(RU.baseline_rates(scored_windows(spark, sf)), 0.5)
+    df = scored_table(spark, sf)
+    return RU.leakage_gate(RU.baseline_rates(df), single_features(df))
 
 
 @query("rule_identity_only", f"""WITH {V.PRED}, a AS (SELECT actor, CAST(round_even(avg(label), 0) AS INT)
