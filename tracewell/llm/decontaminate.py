@@ -55,10 +55,13 @@ def edit_budget(length: int, rate: float = RATE) -> int:
 
 
 def windows(length: int, span: int = SPAN) -> list[int]:
-    """Where the windows of an item start: every half span, and one that ends with the item."""
+    """Where the windows of an item start: every quarter span, and one that ends with the item.
+
+    So a passage of one and a quarter spans, wherever it begins, holds a whole window.
+    """
     if length <= span:
         return [0]
-    return sorted({*range(0, length - span, span // 2), length - span})
+    return sorted({*range(0, length - span, span // 4), length - span})
 
 
 @dataclass
