@@ -142,7 +142,8 @@ def clean_flows(spark, sf):
     return df.withColumnRenamed("y", "label"), feats
 
 
-@query("op_cross_dataset")
+@query("op_cross_dataset", """SELECT CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS positives,
+  CAST(count(*) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT) AS negatives FROM orders""")
 def op_cross_dataset(spark, sf):
     """Train on flows, score orders recast as flows that lack two of the features."""
     flows, feats = clean_flows(spark, sf)
@@ -153,7 +154,8 @@ def op_cross_dataset(spark, sf):
         .otherwise("benign").alias("label"))
     cand, _ = FL.load_tabular(other)
     aligned = FL.align_features(cand.withColumnRenamed("y", "label"), feats, ["row_id", "label"])
-    return E.confusion(L.score(model, aligned))
+    got = E.confusion(L.score(model, aligned))
+    return got.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
 
 
 @query("ml_load_tabular", f"""WITH {V.FLOW} SELECT row_id, CASE lower(trim(protocol)) WHEN 'tcp' THEN 6.0
@@ -210,11 +212,19 @@ def ml_ae_score(spark, sf):
         ((F.col("label") == 1) | (F.avg("ae_pred") < 0.1)).alias("few_benign_flagged"))
 
 
-@query("ml_platt")
+@query("ml_platt", f"""WITH {V.PRED}, r AS (SELECT component, label, row_number() OVER (PARTITION BY component
+    ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY component) AS n FROM pred)
+  SELECT component, CAST(count(*) AS BIGINT) AS rows, true AS optimal FROM r WHERE rn <= n // 2 GROUP BY component""")
 def ml_platt(spark, sf):
-    cal = SP.halves(V.predictions(spark, sf), keys=["component"]).where(
-        F.col("half") == "calibration")
-    return L.fit_platt_by(cal, "component", ["c0", "c1", "c2"])
+    """The fits meet the conditions of the optimum: both derivatives of the penalised loss vanish."""
+    cal = written_table(SP.halves(V.predictions(spark, sf), keys=["component"]).where(
+        F.col("half") == "calibration"), "calibration")
+    fits = L.fit_platt_by(cal, "component", ["c0", "c1", "c2"])
+    gap = L.sigmoid(F.col("coef") * F.col("prob") + F.col("intercept")) - F.col("label")
+    rows = F.count(F.lit(1))
+    return cal.join(F.broadcast(fits), "component").groupBy("component").agg(
+        rows.alias("rows"), ((F.abs(F.sum(gap)) / rows < 1e-5)
+                             & (F.abs(F.sum(gap * F.col("prob")) + F.max("coef")) / rows < 1e-5)).alias("optimal"))
 
 
 A, B, IA, IB = 6.5, 3.25, -2.0, -4.5
@@ -296,7 +306,7 @@ def ml_fusion_artifact(spark, sf):
         "threshold")
 
 
-@query("ml_seq_classifier")
+@query("ml_seq_classifier", f"WITH {Q.LABELLED} {_COUNTS} FROM lab1 WHERE session > 5")
 def ml_seq_classifier(spark, sf):
     from tracewell.operators.normalize import is_attack
     rows = token_table(spark, sf).select(
@@ -305,7 +315,7 @@ def ml_seq_classifier(spark, sf):
     rows = materialize(rows)
     train, _ = L.with_weight(rows.where(F.col("session") <= 5))
     model = L.token_pipeline().fit(train)
-    return L.metrics_row(L.score(model, rows.where(F.col("session") > 5)))
+    return outcome(L.metrics_row(L.score(model, rows.where(F.col("session") > 5))))
 
 
 @query("ml_text_classifier", """WITH c AS (SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id)

@@ -409,12 +409,20 @@ def agg_wilson(spark, sf):
     return t.withColumn("wilson_lb", F.round(wilson_lb(F.col("detected"), F.col("total")), 9))
 
 
-@query("agg_bootstrap_ci")
+@query("agg_bootstrap_ci", f"""WITH {EPISODES} SELECT CASE WHEN label = 1 THEN 'recall' ELSE 'fpr' END AS metric,
+  CAST(count(*) FILTER (WHERE fired >= 2) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS total,
+  CAST(2000 AS BIGINT) AS resamples, true AS holds_rate, true AS near_normal FROM eps GROUP BY 1""")
 def agg_bootstrap_ci(spark, sf):
+    """The interval holds the rate and is about as wide as the normal one."""
     eps = A.hysteresis(A.episodes(scored_windows(spark, sf)))
     groups = eps.groupBy(F.when(F.col("label") == 1, "recall").otherwise("fpr").alias("metric")).agg(
         F.count_if("alert").alias("hits"), F.count(F.lit(1)).alias("total"))
-    return A.bootstrap_ci(groups, "metric", "hits", "total", resamples=2000)
+    rate, width = F.col("hits") / F.col("total"), F.col("high") - F.col("low")
+    normal = 2 * 1.96 * F.sqrt(rate * (1 - rate) / F.col("total"))
+    ci = A.bootstrap_ci(groups, "metric", "hits", "total", resamples=2000)
+    return groups.join(ci, "metric").select(
+        "metric", "hits", "total", "resamples", rate.between(F.col("low"), F.col("high")).alias("holds_rate"),
+        (F.abs(width - normal) <= 0.2 * normal + 2 / F.col("total")).alias("near_normal"))
 
 
 _PROFILE = ["n_delete", "n_create", "n_secrets", "has_impersonation", "severity", "n_distinct_verb"]
