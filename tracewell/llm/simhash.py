@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tracewell.llm.components import components
+from tracewell.llm.similar import near_copies
 from tracewell.llm.words import lower_words
 from tracewell.session import materialize, written_table
 
@@ -226,16 +227,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "node").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 6,
-                     size: int = 2, check_size: int = 5, check_bits: int = 9) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5,
+                     similarity: float = 0.8) -> DataFrame:
     """The documents that come first in their component, with all their columns.
 
-    Near copies are documents with a similarity of 0.8 or more over five-word shingles, estimated by
-    their five-word fingerprints: with d of 64 bits apart the cosine is about cos(pi d / 64), which for
-    9 bits stands for a Jaccard similarity of 0.82. Such pairs are searched by fingerprints over word
-    pairs, which an edit changes less; at most 6 of their bits differ.
+    Near copies are documents with a Jaccard similarity of ``similarity`` or more over shingles of
+    ``size`` words, decided by the sets themselves (``similar``): at 0.8 fingerprints miss about half of
+    the pairs and link others.
     """
-    found = near_duplicates(docs, doc_id, text, bits, size, check_size, check_bits)
+    found = near_copies(docs, doc_id, text, size, similarity)
     key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
     firsts = found.select("root", "doc_id", key(F.col("doc_id"), F.col("text_hash")).alias("key")).groupBy(
         "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
