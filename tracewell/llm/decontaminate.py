@@ -202,9 +202,10 @@ def leaks_of(texts: list[bytes], bench: Benchmark) -> list[dict[int, tuple[set[i
             size += len(parts[-1]) + len(gap)
             ends.append(size)
         buf = np.frombuffer(gap.join([*parts, b""]), np.uint8)
-        mid = bench.span // 2
         for at, item, start, edits in find_leaks(buf, bench):
-            doc = begin + min(int(np.searchsorted(ends, at + mid, side="right")), len(parts) - 1)
+            # The middle of the window, by its own width, lies in its text and not in the gap behind it.
+            mid = at + bench.widths[item] // 2
+            doc = begin + min(int(np.searchsorted(ends, mid, side="right")), len(parts) - 1)
             seen, least = out[doc].get(item, (set(), edits))
             out[doc][item] = (seen | {start}, min(least, edits))
         begin += len(parts)
