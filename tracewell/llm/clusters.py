@@ -54,10 +54,10 @@ def transform(rows: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard coefficients of integer rows, coarse to fine."""
     out, half = np.array(rows, np.int64), 1
     while half < DIMENSION:
-        pairs = out.reshape(len(out), -1, 2, half)
+        pairs = out.reshape(-1, DIMENSION // (2 * half), 2, half)
         out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2)
         half *= 2
-    return out.reshape(len(out), DIMENSION)[:, COARSE_TO_FINE]
+    return out.reshape(-1, DIMENSION)[:, COARSE_TO_FINE]
 
 
 def back(coefficients: list[int], count: int) -> list[int]:
