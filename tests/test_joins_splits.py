@@ -8,9 +8,9 @@ from tracewell.operators import normalize as N
 from tracewell.operators import splits as SP
 
 
-@pytest.mark.parametrize("crowded", [2000, 8, 0])
+@pytest.mark.parametrize("broadcast_cells", [J.BROADCAST_CELLS, 0])
 @pytest.mark.parametrize("system_too", [True, False])
-def test_first_interval_wins(spark, crowded, system_too):
+def test_first_interval_wins(spark, broadcast_cells, system_too):
     rng = random.Random(7)
     spans = [(i, s, s + rng.randrange(5000), f"v{i % 4}") for i, s in
              enumerate(rng.randrange(100_000) for _ in range(60))]
@@ -25,7 +25,7 @@ def test_first_interval_wins(spark, crowded, system_too):
     sp = spark.createDataFrame(spans, "pos int, start_us bigint, end_us bigint, v string")
     applies = None if system_too else ~F.col("actor").startswith("system:")
     got = J.first_match_interval(
-        ev, sp, {"hit": F.col("v")}, bucket_us=1000, applies=applies, crowded=crowded).collect()
+        ev, sp, {"hit": F.col("v")}, applies=applies, broadcast_cells=broadcast_cells).collect()
 
     def want(us, actor):
         if us is None or (not system_too and actor.startswith("system:")):
@@ -36,6 +36,41 @@ def test_first_interval_wins(spark, crowded, system_too):
     assert sorted(map(tuple, got), key=key) == sorted(((*e, want(e[1], e[2])) for e in events), key=key)
 
 
+@pytest.mark.parametrize("broadcast_cells", [J.BROADCAST_CELLS, 0])
+def test_a_hundred_thousand_intervals_in_one_hour(spark, broadcast_cells):
+    """All of them overlap; the winner at a time is the lowest open place."""
+    rng, hour = random.Random(21), 3_600_000_000
+    half = hour // 2
+    n = 100_000
+    places = rng.sample(range(n), n)
+    spans = [(p, 7 * hour + rng.randrange(half), 7 * hour + half + rng.randrange(half), f"v{p}") for p in places]
+    events = [(i, 7 * hour + rng.randrange(hour)) for i in range(2_000)]
+    ev = spark.createDataFrame(events, "id int, us bigint")
+    sp = spark.createDataFrame(spans, "pos int, start_us bigint, end_us bigint, v string")
+    got = {r["id"]: r["hit"] for r in J.first_match_interval(
+        ev, sp, {"hit": F.col("v")}, broadcast_cells=broadcast_cells).collect()}
+    starts, bounds = sorted(spans), {}
+    for i, us in events:
+        bounds[i] = next((v for _, s, e, v in starts if s <= us <= e), None)
+    assert got == bounds
+
+
+def test_interval_cells_are_disjoint_and_whole(spark):
+    rng = random.Random(5)
+    spans = [(i, a, a + rng.choice([0, 1, 15, 16, 17, 255, 256, 4_000])) for i, a in
+             enumerate(rng.randrange(-5_000, 5_000) for _ in range(80))]
+    spans += [(80, 5, 4), (81, -(1 << 63), (1 << 63) - 1), (82, None, 9)]
+    sp = spark.createDataFrame(spans, "pos int, start_us bigint, end_us bigint")
+    for pos, start, end in spans[:80:13]:
+        cells = J.interval_index(sp.where(F.col("pos") == pos)).collect()
+        times = sorted(t for r in cells for t in range(r["cell"] << 4 * r["level"], (r["cell"] + 1) << 4 * r["level"]))
+        assert times == list(range(start, end + 1)) and len(cells) <= 90
+    ev = spark.createDataFrame([(t,) for t in range(-6_000, 10_000, 7)], "us bigint")
+    got = {r["us"]: r["p"] for r in J.first_match_interval(ev, sp, {"p": F.col("pos")}).collect()}
+    for us, p in got.items():
+        assert p == next((i for i, a, b in spans[:80] if a <= us <= b), 81)
+
+
 @pytest.mark.parametrize("literal_rows", [1000, 0])
 def test_token_codes_keep_every_row(spark, literal_rows):
     rows = [(1, ["a", "b", "zz"]), (1, ["b"]), (None, ["a"]), (2, []), (3, None), (1, ["b"]), (4, [None, "a"])]

@@ -2,80 +2,87 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import safe_div
-from tracewell.session import broadcast_if_small, materialize
+from tracewell.session import broadcast_if_small, small_side, written_table
+
+# Bits by which a level's cells are wider than those of the level below; 16 levels span all times.
+CELL_BITS = 4
+LEVELS = 64 // CELL_BITS
+# Cells (three longs each) up to which the interval index may be broadcast.
+BROADCAST_CELLS = 1_000_000
+
 
-SPAN_BUCKET_US = 3_600_000_000
-CROWDED_SPANS = 64
+def interval_index(spans: DataFrame) -> DataFrame:
+    """``level``, ``cell``, ``pos``: per aligned cell the lowest ``pos`` of the intervals cut into it.
+
+    An interval (both ends inclusive) is the disjoint union of the largest aligned cells of
+    ``2 ** (CELL_BITS * level)`` microseconds inside it: at most 30 on each level, and on all but the
+    highest ones only near its ends. Equal cells of different intervals become one row, since the
+    first interval is a minimum.
+    """
+    far = F.lit(1 << 62)
+    bounds = spans.where(F.col("end_us") >= F.col("start_us")).select(
+        "pos", F.greatest(F.col("start_us"), -far).alias("_start"),
+        (F.least(F.col("end_us"), far) + 1).alias("_after"),
+        F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    # First cell and the one after the last that lie inside, on a level and on the next higher one.
+    bounds = bounds.selectExpr(
+        "pos", "level", f"-shiftright(-_start, {CELL_BITS} * level) AS low",
+        f"shiftright(_after, {CELL_BITS} * level) AS high",
+        *[f"IF(level < {LEVELS - 1}, shiftleft({cell}, {CELL_BITS}), 0) AS {name}" for name, cell in (
+            ("up_low", f"-shiftright(-_start, {CELL_BITS} * level + {CELL_BITS})"),
+            ("up_high", f"shiftright(_after, {CELL_BITS} * level + {CELL_BITS})"))])
+    run = "IF({0} < {1}, sequence({0}, {1} - 1), CAST(array() AS ARRAY<BIGINT>))"
+    cells = F.expr(f"IF(up_low < up_high, concat({run.format('low', 'up_low')}, {run.format('up_high', 'high')}), "
+                   f"{run.format('low', 'high')})")
+    laid = bounds.select("pos", "level", F.explode(cells).alias("cell"))
+    return laid.groupBy("level", "cell").agg(F.min("pos").alias("pos"))
+
+
+def _cell(us: Column, level: int) -> Column:
+    return F.shiftright(us, CELL_BITS * level)
 
 
 def first_match_interval(
     events: DataFrame, spans: DataFrame, value: dict[str, Column], us: str = "us",
-    *, bucket_us: int = SPAN_BUCKET_US, applies: Column | None = None, crowded: int = CROWDED_SPANS,
+    *, applies: Column | None = None, broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Left join of each event to the first interval (lowest ``pos``) with start <= time <= end.
 
-    ``spans`` has ``start_us``, ``end_us`` and ``pos``. Intervals are cut at time buckets and travel
-    as one array per bucket, so each event meets one row and keeps its place whatever its id is. In a
-    bucket with more than ``crowded`` intervals they are first turned into disjoint segments that
-    carry the winner, and the bucket is divided until its parts hold a few segments each.
+    ``spans`` has ``start_us``, ``end_us`` and ``pos``. An event looks up its cell of ``interval_index``
+    on each level that occurs and takes the lowest ``pos``; however many intervals overlap, a level
+    gives one row. An index of at most ``broadcast_cells`` rows is looked up in place, without a shuffle of
+    the events; a larger one is joined to the distinct times, which are then joined to the events.
+    A null time is in no interval.
     """
-    spans = spans.where(F.col("end_us") >= F.col("start_us"))
-    low = F.col("_bucket") * bucket_us
-    laid = (spans.select("pos", "start_us", "end_us")
-            .withColumn("_bucket", F.explode(F.sequence(
-                F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us))))
-            .groupBy("_bucket", F.greatest("start_us", low).alias("_from"),
-                     F.least("end_us", low + (bucket_us - 1)).alias("_to"))
-            .agg(F.min("pos").alias("pos")).withColumn("_part", F.lit(0).cast("bigint")))
-    busy = laid.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
-    tagged = events.withColumn("_bucket", F.floor(F.col(us) / bucket_us))
-    part = F.lit(0).cast("bigint")
-    if not busy.isEmpty():
-        busy = materialize(busy)
-        cut = materialize(
-            laid.join(broadcast_if_small(busy), "_bucket").groupBy("_bucket").applyInPandas(
-                _segments(bucket_us), "_bucket bigint, _width bigint, _part bigint, _from bigint, "
-                f"_to bigint, pos {dict(laid.dtypes)['pos']}"))
-        laid = laid.join(broadcast_if_small(busy), "_bucket", "left_anti").unionByName(cut.drop("_width"))
-        tagged = tagged.join(broadcast_if_small(cut.select("_bucket", "_width").distinct()), "_bucket", "left")
-        part = F.coalesce(F.floor((F.col(us) - low) / F.col("_width")), part)
-    found = spans.select("pos", *[c.alias(f"_f_{n}") for n, c in value.items()]).dropDuplicates(["pos"])
-    arrays = laid.join(found, "pos").groupBy("_bucket", "_part").agg(F.sort_array(F.collect_list(
-        F.struct("pos", "_from", "_to", *[f"_f_{n}" for n in value]))).alias("_spans"))
-    joined = tagged.withColumn("_part", part).join(arrays, ["_bucket", "_part"], "left")
-    hit = F.get(F.filter("_spans", lambda s: F.col(us).between(s["_from"], s["_to"])), 0)
-    joined = joined.withColumn("_hit", hit if applies is None else F.when(applies, hit))
-    return joined.select(*events.columns, *[F.col(f"_hit._f_{n}").alias(n) for n in value])
-
-
-def _segments(bucket_us: int):
-    """Sweeps a bucket's intervals; a heap holds the open ones, its top wins the segment."""
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["_bucket"].iloc[0])
-        rows = sorted(zip(pdf["_from"], pdf["_to"], pdf["pos"]))
-        borders = sorted({x for a, b, _ in rows for x in (a, b + 1)})
-        open_spans, segments, at = [], [], 0
-        for a, b in zip(borders, borders[1:]):
-            while at < len(rows) and rows[at][0] <= a:
-                heapq.heappush(open_spans, (rows[at][2], rows[at][1]))
-                at += 1
-            while open_spans and open_spans[0][1] < a:
-                heapq.heappop(open_spans)
-            if open_spans:
-                segments.append((a, b - 1, open_spans[0][0]))
-        width = max(1, bucket_us >> (len(segments) // 16).bit_length())
-        low = bucket * bucket_us
-        out = [(bucket, width, p, a, b, pos) for a, b, pos in segments
-               for p in range((a - low) // width, (b - low) // width + 1)]
-        return pd.DataFrame(out, columns=["_bucket", "_width", "_part", "_from", "_to", "pos"])
-    return cut
+    index = written_table(interval_index(spans), "cells")
+    levels = sorted(r["level"] for r in index.select("level").distinct().collect())
+    time = F.col(us).cast("bigint")
+    if index.count() <= broadcast_cells:
+        joined, found = events, []
+        for level in levels:
+            cells = index.where(F.col("level") == level).select(
+                F.col("cell").alias("_cell"), F.col("pos").alias(f"_pos{level}"))
+            joined = joined.join(F.broadcast(cells), _cell(time, level) == F.col("_cell"), "left").drop("_cell")
+            found.append(F.col(f"_pos{level}"))
+        first = F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("bigint")
+        joined = joined.withColumn("_first", first).drop(*[f"_pos{level}" for level in levels])
+    else:
+        times = events.select(time.alias("_time")).where("_time IS NOT NULL").distinct()
+        asked = times.select("_time", F.explode(F.array(*[
+            F.struct(F.lit(level).alias("level"), _cell(F.col("_time"), level).alias("cell"))
+            for level in levels])).alias("_c")).select("_time", "_c.*")
+        winners = asked.join(index, ["level", "cell"]).groupBy("_time").agg(F.min("pos").alias("_first"))
+        joined = events.join(winners, time == F.col("_time"), "left").drop("_time")
+    if applies is not None:
+        joined = joined.withColumn("_first", F.when(applies, F.col("_first")))
+    facts = spans.where(F.col("end_us") >= F.col("start_us")).select(
+        F.col("pos").alias("_first"), *[c.alias(f"_f_{n}") for n, c in value.items()]).dropDuplicates(["_first"])
+    joined = joined.join(small_side(facts), "_first", "left")
+    return joined.select(*events.columns, *[F.col(f"_f_{n}").alias(n) for n in value])
 
 
 def session_span(events: DataFrame, spans: DataFrame, mode: str = "exact", us: str = "us"
