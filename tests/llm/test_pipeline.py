@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from llm.test_linededup import _plain as plain_lines
+from llm.test_simhash import _jaccard as jaccard
 from llm.test_simhash import _roots
 from tracewell.llm import decontaminate as D
 from tracewell.llm.mixing import mix
 from tracewell.llm.quality import judge
-from tracewell.llm.simhash import shingle_hashes, simhash
-from tracewell.llm.words import lower_words, word_count
+from tracewell.llm.similar import shingle_set
+from tracewell.llm.words import word_count
 
 
 @pytest.fixture(scope="module")
@@ -58,11 +59,10 @@ def test_line_dedup(stages):
 
 def test_near_copies(stages):
     before, after = stages[2]
-    prints = {d: [simhash(shingle_hashes(lower_words((t or "").encode()), n)) for n in (2, 5)]
-              for d, t in _texts(before).items()}
-    ids = sorted(prints)
-    edges = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]
-             if (prints[a][0] ^ prints[b][0]).bit_count() <= 6 and (prints[a][1] ^ prints[b][1]).bit_count() <= 9]
+    sets = {d: shingle_set((t or "").encode()) for d, t in _texts(before).items()}
+    ids = sorted(sets)
+    edges = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if jaccard(sets[a], sets[b]) >= 0.8]
+    assert edges
     assert set(_texts(after)) == set(_roots(ids, edges).values())
 
 

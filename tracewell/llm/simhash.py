@@ -32,12 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from tracewell.llm.components import components
 from tracewell.llm.similar import near_copies
 from tracewell.llm.words import lower_words
-from tracewell.session import materialize, written_table
+from tracewell.session import broadcast_if_small, materialize, written_table
 
 SHINGLE = 3
 BITS = 3
@@ -235,12 +234,23 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``size`` words, decided by the sets themselves (``similar``): at 0.8 fingerprints miss about half of
     the pairs and link others.
     """
-    found = near_copies(docs, doc_id, text, size, similarity)
-    key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
-    firsts = found.select("root", "doc_id", key(F.col("doc_id"), F.col("text_hash")).alias("key")).groupBy(
-        "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
-    rows = docs.select(F.struct("*").alias("row"), key(F.col(doc_id), F.xxhash64(text)).alias("key"))
-    kept = rows.join(firsts.select("x.key"), "key")
-    # Rows that are repeated whole share a key: one of them stays.
-    one = Window.partitionBy("key").orderBy("key")
-    return kept.withColumn("copy", F.row_number().over(one)).where(F.col("copy") == 1).select("row.*")
+    found = written_table(near_copies(docs, doc_id, text, size, similarity), "found")
+    ident = ["doc_id", "text_hash"]
+    firsts = found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    rows = written_table(
+        found.groupBy("root", *ident).agg(F.count(F.lit(1)).alias("n")).join(firsts, "root").select(
+            *ident, "n", (F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("text_hash") == F.col("x.text_hash")))
+            .alias("first")), "rows")
+    read = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+
+    def meet(some: DataFrame, how: str) -> DataFrame:
+        """``read`` with or without the given rows; only they travel if they are few."""
+        other = broadcast_if_small(some.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
+        return read.join(other, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), how)
+
+    alone = meet(rows.where(~F.col("first") | (F.col("n") > 1)), "left_anti")
+    # Rows with equal id and text: the one whose row has the smallest hash stays.
+    one = meet(rows.where(F.col("first") & (F.col("n") > 1)), "left_semi").groupBy(*ident).agg(
+        F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.select("row.*").unionByName(one.select("row.*"))
