@@ -81,6 +81,18 @@ def test_token_codes_keep_every_row(spark, literal_rows):
     assert sorted(map(str, got)) == sorted(str((i, t if t is None else [codes.get(x, 1) for x in t])) for i, t in rows)
 
 
+@pytest.mark.parametrize("few", [0, 3, 40])
+def test_a_class_with_few_rows_is_topped_up_from_the_other(spark, few):
+    from hashlib import md5
+    rows = [(i, 1 if i < few else 0) for i in range(400)]
+    got = SP.sample_stratified(spark.createDataFrame(rows, "row_id int, label int"), 60).collect()
+    order = sorted(rows, key=lambda r: (md5(f"123|{r[0]}".encode()).hexdigest(), r[0]))
+    half = [r for c in (0, 1) for r in [x for x in order if x[1] == c][:30]]
+    want = [*half, *[r for r in order if r not in half]][:60]
+    assert sorted((r["row_id"], r["label"]) for r in got) == sorted(want)
+    assert sum(r["label"] for r in got) == min(few, 30) and len(got) == 60
+
+
 def test_second_truncation_reaches_the_closing_bound(spark):
     ev = spark.createDataFrame([(1, 10_400_000)], "audit_id int, us bigint")
     sp = spark.createDataFrame([(5, 0, 0, 10_000_000)],

@@ -6,7 +6,8 @@ from tracewell.functions import constants as K
 from tracewell.operators import correlate as C
 from tracewell.operators import windows as W
 from tracewell.streaming import jobs as S
-from tracewell.streaming.state import ActorHistory, EpisodeAlerts
+from tracewell.operators.rules import window_signals
+from tracewell.streaming.state import ActorHistory, episode_alerts, first_seen, live_alerts
 
 
 def _feed(spark, tmp_path, rows, files):
@@ -27,49 +28,99 @@ def _feed(spark, tmp_path, rows, files):
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-@pytest.mark.parametrize("split", [{}, {"chunk_rows": 10, "bucket_us": 1_000_000}])
-def test_history_over_batches_equals_batch(spark, tmp_path, split):
-    rows = random_events(300, 11)
-    # Distinct times, so that a tie never straddles two batches.
-    rows = [(r[0], r[1] + i, *r[2:]) for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))]
-    stream = _feed(spark, tmp_path, rows, 4)
-    job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"), **split)
-    S.run_batches(stream, job.process, str(tmp_path / "cp"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.select("batch").distinct().count() == 4
-    want = W.window_features(spark.createDataFrame(rows, EVENT_SCHEMA))
-    cols = ["audit_id", *K.ALL_FEATURES]
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
-
-
-def test_a_repeated_batch_gives_the_same_state(spark, tmp_path):
-    rows = random_events(80, 12)
-    job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"))
-    a = spark.createDataFrame(sorted(rows, key=lambda r: r[1])[:40], EVENT_SCHEMA)
-    b = spark.createDataFrame(sorted(rows, key=lambda r: r[1])[40:], EVENT_SCHEMA)
-    job.process(a, 0)
-    job.process(b, 1)
-    once = sorted(map(tuple, job.sums.read(2).collect()))
-    job.process(b, 1)  # as after a loss before the commit
-    assert sorted(map(tuple, job.sums.read(2).collect())) == once
+def _rising(rows):
+    """Distinct times, so that a tie never straddles two batches."""
+    return [(r[0], r[1] + i, *r[2:]) for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))]
+
+
+COLS = ["audit_id", *K.ALL_FEATURES]
+
+
+def _same(got, want, cols=COLS):
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, got.select(cols).collect()), key=key) == sorted(map(tuple, want.select(cols).collect()), key=key)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_history_over_batches_equals_batch(spark, tmp_path, files):
+    rows = _rising(random_events(300, 11))
+    stream = _feed(spark, tmp_path, rows, files)
+    got = S.run_to_table(ActorHistory().features(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    _same(got, W.window_features(spark.createDataFrame(rows, EVENT_SCHEMA)))
+    tokens = S.run_to_table(ActorHistory().token_windows(stream), str(tmp_path / "tok"), str(tmp_path / "tcp"))
+    _same(tokens, W.token_windows(spark.createDataFrame(rows, EVENT_SCHEMA)), ["audit_id", "tokens"])
+
+
+def test_restart_in_the_middle_goes_on_from_the_checkpoint(spark, tmp_path):
+    rows = _rising(random_events(200, 12))
+    folder = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(EVENT_SCHEMA).parquet(folder)
+    for part in (rows[:90], rows[90:150], rows[150:]):
+        spark.createDataFrame(part, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        got = S.run_to_table(ActorHistory().features(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    _same(got, W.window_features(spark.createDataFrame(rows, EVENT_SCHEMA)))
+
+
+def test_history_starts_with_what_a_batch_table_left(spark, tmp_path):
+    rows = _rising(random_events(240, 14))
+    early = spark.createDataFrame(rows[:160], EVENT_SCHEMA)
+    stream = _feed(spark, tmp_path, rows[160:], 2)
+    got = S.run_to_table(ActorHistory(before=early).features(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    want = W.window_features(spark.createDataFrame(rows, EVENT_SCHEMA)).join(
+        early.select("audit_id"), "audit_id", "left_anti")
+    _same(got, want)
 
 
 def test_idle_actors_are_forgotten(spark, tmp_path):
-    rows = [(i, i * 1_000_000, 0, "old" if i < 3 else "new", *random_events(1, 1)[0][4:]) for i in range(9)]
-    job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"), idle_us=4_000_000)
-    job.process(spark.createDataFrame(rows, EVENT_SCHEMA), 0)
-    assert {r["actor"] for r in job.sums.read(1).collect()} == {"new"}
-    assert {r["actor"] for r in job.tail.read(1).collect()} == {"new"}
+    """An actor that comes back after the idle time starts anew, one that doesn't pause goes on."""
+    base = random_events(1, 1)[0]
+    second = 1_000_000
+    times = {"pauses": [0, 1, 200, 201], "stays": [0, 50, 100, 150, 200, 250]}
+    rows = sorted((t * second, a) for a, ts in times.items() for t in ts)
+    rows = [(i, 10**15 + us, 0, a, *base[4:]) for i, (us, a) in enumerate(rows)]
+    stream = _feed(spark, tmp_path, rows, 5).withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "1 second")
+    got = S.run_to_table(ActorHistory(idle_us=100 * second).features(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    seen = {(r["actor"], (r["us"] - 10**15) // second): r["n_events"] for r in got.collect()}
+    assert [seen["stays", t] for t in times["stays"]] == [1, 2, 3, 4, 5, 6]
+    assert [seen["pauses", t] for t in times["pauses"]] == [1, 2, 1, 2]
 
 
 @pytest.mark.parametrize("again,want", [(False, [2]), (True, [2, 3])])
 def test_episode_alert_on_rising_edge(spark, tmp_path, again, want):
-    job = EpisodeAlerts(spark, str(tmp_path / "s"), str(tmp_path / "o"), re_alert=again)
-    for i, probs in enumerate([[0.9, 0.1], [0.7], [0.8]]):
-        job.process(spark.createDataFrame([(1, "a", p) for p in probs],
-                                          "session bigint, actor string, prob double"), i)
-    out = spark.read.parquet(str(tmp_path / "o")).orderBy("batch").collect()
-    assert [r["fired"] for r in out] == want
+    folder = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    schema = "session bigint, actor string, prob double"
+    stream = spark.readStream.schema(schema).parquet(folder)
+    for probs in [[0.9, 0.1], [0.7], [0.8]]:
+        spark.createDataFrame([(1, "a", p) for p in probs], schema).coalesce(1).write.mode("append").parquet(folder)
+        out = S.run_to_table(episode_alerts(stream, re_alert=again), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r["n_windows_fired"] for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_live_alerts_keep_reasons_and_last_event_over_batches(spark, tmp_path, files):
+    rows = _rising(random_events(250, 15))
+    score = lambda df: df.withColumn("prob", (F.col("us") % 10) / 10.0)
+    stream = _feed(spark, tmp_path, rows, files)
+    got = S.run_to_table(live_alerts(stream, score, k=3, re_alert=True), str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = score(W.window_features(spark.createDataFrame(rows, EVENT_SCHEMA)))
+    want = batch.groupBy("session", "actor").agg(
+        F.count_if(F.col("prob") >= 0.5).alias("n"), F.max("prob").alias("p"),
+        F.max_by(F.struct("verb", "resource"), F.struct("us", "audit_id")).alias("last"),
+        *[F.bool_or(c).alias(n) for n, c in window_signals().items()]).where("n >= 3").collect()
+    # The last record of an episode sums up all of its batches.
+    last = {}
+    for r in sorted(got.collect(), key=lambda r: r["n_windows_fired"]):
+        last[r["session"], r["actor"]] = (r["n_windows_fired"], r["max_prob"], r["last_verb"], r["last_resource"], r["reasons"])
+    full = {(r["session"], r["actor"]): (r["n"], r["p"], r["last"]["verb"], r["last"]["resource"],
+                                         [n for n in window_signals() if r[n]]) for r in want}
+    assert set(last) == set(full)
+    assert all(last[k][4] == full[k][4] for k in full if last[k][0] == full[k][0])
+    if files == 1:
+        assert last == full
+    actors = S.run_to_table(first_seen(stream, "actor"), str(tmp_path / "actors"), str(tmp_path / "acp"))
+    assert sorted(r[0] or "" for r in actors.collect()) == sorted({r[3] or "" for r in rows})
 
 
 def test_dedup_keeps_rows_without_id(spark, tmp_path):
@@ -98,20 +149,3 @@ def test_live_incidents_equal_batch_incidents(spark, tmp_path):
     closed = batch.where(F.col("end_us") + minute <= 3600_000_000 - 15 * minute)
     cols = ["actor", "start_us", "end_us", "n_alerts", "n_hints"]
     assert sorted(map(tuple, live.select(cols).collect())) == sorted(map(tuple, closed.select(cols).collect()))
-
-
-def test_only_touched_state_is_rewritten_and_old_versions_go(spark, tmp_path):
-    rows = sorted(random_events(120, 13), key=lambda r: r[1])
-    job = ActorHistory(spark, str(tmp_path / "state"), str(tmp_path / "out"))
-    for i in range(4):
-        job.process(spark.createDataFrame(rows[i * 30:(i + 1) * 30], EVENT_SCHEMA), i)
-    for state in (job.tail, job.sums):
-        assert all(len(v) <= 2 for v in state.versions().values())
-    before = sorted(map(tuple, job.sums.read(4).collect()))
-    lone = spark.createDataFrame([rows[0]], EVENT_SCHEMA)
-    touched = job.sums.touched(lone)
-    job.process(lone, 4)
-    assert len(touched) == 1
-    assert [b for b, v in job.sums.versions().items() if 4 in v] == touched
-    after = sorted(map(tuple, job.sums.read(5).collect()))
-    assert len(after) == len(before) and sum(a != b for a, b in zip(after, before)) == 1

@@ -14,7 +14,7 @@ GROUP = ["session", "actor"]
 ORDER = ["us", "audit_id"]
 
 
-def _counted() -> dict[str, Column]:
+def counted_conditions() -> dict[str, Column]:
     """Per-event conditions whose last-20 counts the features need."""
     return {
         "n_forbid": F.col("decision") == "forbid",
@@ -36,6 +36,17 @@ def _counted() -> dict[str, Column]:
     }
 
 
+def distinct_values() -> dict[str, Column]:
+    """Values whose distinct counts over the last events the features need."""
+    return {
+        "n_distinct_resource": F.col("resource"),
+        "n_distinct_verb": F.col("verb"),
+        "n_distinct_ns": F.col("ns"),
+        "n_distinct_impersonated": F.when(F.col("is_imp") == 1, F.col("imp")),
+        "secret_ns": F.when(P.secret_read(), F.col("ns")),
+    }
+
+
 CUMULATIVE = {
     "secrets": P.secret_read,
     "rbac_w": P.rbac_write,
@@ -63,7 +74,7 @@ def window_features(
     Counts over the last ``size`` events are differences of running sums ``size`` rows apart, so
     each row costs the same whatever the frame; only the distinct counts look at the frame itself.
     """
-    counted, extra = _counted(), extra or {}
+    counted, extra = counted_conditions(), extra or {}
     cum = {name: make() for name, make in CUMULATIVE.items()}
     if context:
         cum = {name: cond & ~F.col(context) for name, cond in cum.items()}
@@ -78,19 +89,18 @@ def window_features(
         # Running totals skip the repeated rows and start from the earlier chunks.
         **{f"cum_{c}": F.sum(flag(cond & ~F.col("_halo"))).over(so_far) + F.col(f"_base_{c}")
            for c, cond in cum.items()},
-        "n_distinct_resource": F.size(F.collect_set("resource").over(frame)),
-        "n_distinct_verb": F.size(F.collect_set("verb").over(frame)),
-        "n_distinct_ns": F.size(F.collect_set("ns").over(frame)),
-        "n_distinct_impersonated": F.size(
-            F.collect_set(F.when(F.col("is_imp") == 1, F.col("imp"))).over(frame)),
-        "secret_ns": F.size(F.collect_set(F.when(P.secret_read(), F.col("ns"))).over(frame)),
-        **{name: F.size(F.collect_set(c).over(frame)) for name, c in extra.items()},
+        **{name: F.size(F.collect_set(c).over(frame)) for name, c in {**distinct_values(), **extra}.items()},
     })
     df = df.withColumns({
         "n_events": F.least(F.col("_row"), F.lit(size)),
         **{c: F.col(f"_r{c}") - F.coalesce(F.lag(f"_r{c}", size).over(order), F.lit(0))
            for c in counted},
     }).where(~F.col("_halo"))
+    return derived_features(df, events.columns, size, list(extra))
+
+
+def derived_features(df: DataFrame, columns: list[str], size: int, extra: list[str] = []) -> DataFrame:
+    """``columns`` and the features of rows that carry the counts over their last ``size`` events."""
     has = {"has_secret": "_secret", "has_exec": "n_exec", "has_rbac_write": "_rbw",
            "has_crb": "_crb", "has_forbid": "n_forbid", "has_impersonation": "_imp",
            "has_csr": "_csr", "has_tokenreq": "_tok"}
@@ -108,7 +118,7 @@ def window_features(
                      + 2 * F.col("has_impersonation")),
     })
     ratios = {"forbid_ratio", "secret_rate", "rbac_rate", "create_rate", "selfreview_ratio"}
-    return df.select(*events.columns, *[
+    return df.select(*columns, *[
         F.col(c).cast("double" if c in ratios else "bigint").alias(c)
         for c in [*K.ALL_FEATURES, *extra]])
 

@@ -300,10 +300,10 @@ def mon_up(spark, sf):
     return M.up(df)
 
 
-@query("str_rate_rules", f"""WITH {METRICS}, {INC.format(w=60_000_000)}
+@query("mon_rate_rule", f"""WITH {METRICS}, {INC.format(w=60_000_000)}
   SELECT win * 60000000 AS win_us, CAST(sum(increase) AS BIGINT) AS increase FROM incr
   WHERE label IN ('error', 'purchase') GROUP BY win HAVING sum(increase) > 0""")
-def str_rate_rules(spark, sf):
+def mon_rate_rule(spark, sf):
     return M.rate_rule(metrics(spark, sf), ["error", "purchase"])
 
 

@@ -351,14 +351,11 @@ def split_stratified(spark, sf):
 
 
 @query("sample_stratified", f"""WITH {FLAB}, r AS (SELECT row_id, y, {DRAWN.format(seed=123)} AS h,
-    row_number() OVER (PARTITION BY y ORDER BY {DRAWN.format(seed=123)}, row_id) AS p FROM fl
-    WHERE y = 1 OR row_id % 97 = 0)
+    row_number() OVER (PARTITION BY y ORDER BY {DRAWN.format(seed=123)}, row_id) AS p FROM fl)
   SELECT row_id, y AS label FROM r
   ORDER BY CASE WHEN p <= 500 THEN 0 ELSE 1 END, h, row_id LIMIT 1000""")
 def sample_stratified(spark, sf):
-    """Few benign rows, so that attacks fill up the sample."""
-    rows = labelled_flows(spark, sf).where((F.col("label") == 1) | (F.col("row_id") % 97 == 0))
-    return SP.sample_stratified(rows, 1000).select("row_id", "label")
+    return SP.sample_stratified(labelled_flows(spark, sf), 1000).select("row_id", "label")
 
 
 @query("sample_n", f"""WITH {V.FLOW} SELECT row_id FROM flow ORDER BY {DRAWN.format(seed=42)}, row_id

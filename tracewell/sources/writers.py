@@ -40,8 +40,16 @@ def write_incidents(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_alerts(df: DataFrame, path: str, webhook=None) -> None:
-    """Append alert rows; ``webhook`` is an optional per-partition callback, off by default."""
-    df.write.mode("append").parquet(path)
+def write_alert_stream(alerts: DataFrame, path: str, checkpoint: str, webhook=None) -> None:
+    """Append the alerts of a stream as JSON lines, each row once; processes what is there.
+
+    ``webhook`` is an optional per-partition callback for live notification, off by default. It runs in a
+    query of its own (with its own checkpoint), so a slow receiver doesn't hold up the file.
+    """
+    queries = [alerts.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+               .outputMode("append").trigger(availableNow=True).start()]
     if webhook is not None:
-        df.foreachPartition(webhook)
+        queries.append(alerts.writeStream.foreachBatch(lambda df, _: df.foreachPartition(webhook)).option(
+            "checkpointLocation", f"{checkpoint}-webhook").trigger(availableNow=True).start())
+    for q in queries:
+        q.awaitTermination()

@@ -1,189 +1,252 @@
-"""Per-key state kept as tables in the shared folder, versioned by micro-batch and bucket of keys.
+"""Keyed state of the engine: what a live feature row needs of its actor's past.
 
-The per-actor history of a stream is the last events plus running totals. Keeping it as a table
-and running each micro-batch through the batch window code has two effects: live and batch
-features are one definition, and a very busy actor is split into chunks like in batch instead of
-being handed to a single state task. A version is written completely before it is used and is
-named by its batch id, so a batch that is retried after a loss reads the same input state.
+``LastEvents`` and ``EpisodeAlerts`` are stateful processors for ``transformWithState``: the engine keeps,
+versions, checkpoints and restores their state (in RocksDB) and hands each key its new rows. What a
+feature means stays in one place: conditions and values are columns computed before the state, ratios and
+flags are columns computed after it, both by ``operators.windows``; the processor only adds up the last rows.
+
+The rows that one micro-batch has for one key are put in time order in memory, so a source should bound
+its micro-batches (``maxFilesPerTrigger``). An event that comes late takes its place in time among the
+actor's last events; rows emitted before are not revised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import Counter, deque
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import flag, severity_band
 from tracewell.operators import windows as W
 from tracewell.operators.rules import window_signals
-from tracewell.session import list_paths, make_folder, remove_path
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_engine_state(spark: SparkSession) -> None:
+    """Keyed state with lists, values and timers needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+def _in_order(row) -> tuple:
+    """Place of an event in time; nulls come first, as in the batch windows."""
+    return (row[0] is not None, row[0] or 0, row[1] is not None, row[1] or 0)
 
-class TableState:
-    """Keyed table below ``root``, cut into buckets of keys; a batch rewrites only the buckets it touches.
 
-    A bucket's version is named by the batch that wrote it; ``read`` gives, per bucket, the last version
-    before the batch. Per bucket the versions that a retry can still ask for are kept: the last one
-    before the batch and the batch's own.
+class LastEvents(StatefulProcessor):
+    """Sums and distinct counts over a key's last ``size`` rows, and running totals, per new row.
+
+    Reads ``us``, ``id``, ``flags`` (what to sum over the last rows), ``steps`` (what to add to the totals),
+    ``values`` (what to count distinct; nulls don't count), ``note`` (text that is given back for all last
+    rows) and ``row``. Emits ``row`` with ``n``, ``sums``, ``kinds``, ``totals`` and ``notes``. State: the last
+    ``size`` - 1 rows and the totals, forgotten when the watermark is ``idle_ms`` past the key's last event.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str], buckets: int = 64):
-        self.spark, self.root, self.schema = spark, root, schema
-        self.bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
-
-    def touched(self, new: DataFrame) -> list[int]:
-        """The buckets that a batch falls into; there are at most ``buckets``."""
-        return sorted(r[0] for r in new.select(self.bucket).distinct().collect())
-
-    def versions(self) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for path in list_paths(self.spark, f"{self.root}/v=*/b=*"):
-            version, bucket = (int(x.split("=")[1]) for x in path.rsplit("/", 2)[1:])
-            out.setdefault(bucket, []).append(version)
-        return {b: sorted(v) for b, v in out.items()}
-
-    def read(self, batch: int, touched: list[int] | None = None) -> DataFrame:
-        paths = []
-        for bucket, versions in sorted(self.versions().items()):
-            before = [v for v in versions if v < batch]
-            if before and (touched is None or bucket in touched):
-                paths.append(f"{self.root}/v={before[-1]}/b={bucket}")
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def write(self, df: DataFrame, batch: int, touched: list[int]) -> None:
-        names = [f.split()[0] for f in self.schema.split(", ")]
-        path = f"{self.root}/v={batch}"
-        df.select(*names, self.bucket.alias("b")).write.mode("overwrite").partitionBy("b").parquet(path)
-        for bucket in touched:  # a bucket that became empty is a version, too
-            make_folder(self.spark, f"{path}/b={bucket}")
-        for bucket, versions in self.versions().items():
-            for old in [v for v in versions if v < batch][:-1]:
-                remove_path(self.spark, f"{self.root}/v={old}/b={bucket}")
-
-
-EVENT_FIELDS = ("audit_id bigint, ts timestamp, us bigint, session bigint, actor string, "
-                "verb string, resource string, sub string, ns string, code int, decision string, "
-                "imp string, is_imp int, source_ip string, k int")
+    def __init__(self, size: int, n_flags: int, n_steps: int, n_values: int, idle_ms: int | None = None):
+        self.size, self.n_flags, self.n_steps, self.n_values, self.idle_ms = size, n_flags, n_steps, n_values, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tail = handle.getListState(
+            "tail", "us bigint, id bigint, flags array<int>, values array<string>, note string")
+        self.totals = handle.getValueState("totals", "totals array<bigint>")
+        if self.idle_ms is not None:
+            self.last = handle.getValueState("last", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = [tuple(r) for r in self.tail.get()] if self.tail.exists() else []
+        totals = list(self.totals.get()[0]) if self.totals.exists() else [0] * self.n_steps
+        # A key that only has an initial state comes with a row of nulls.
+        rows = [(r["us"], r["id"], r["flags"], r["values"], r["note"], r) for r in rows if r["flags"] is not None]
+        held: deque = deque()
+        sums, kinds = [0] * self.n_flags, [Counter() for _ in range(self.n_values)]
+        for row in sorted([*old, *rows], key=_in_order):
+            if self._was_idle(held, row):
+                held.clear()
+                sums, kinds, totals = [0] * self.n_flags, [Counter() for _ in kinds], [0] * self.n_steps
+            held.append(row)
+            sums = [s + x for s, x in zip(sums, row[2])]
+            for seen, value in zip(kinds, row[3]):
+                if value is not None:
+                    seen[value] += 1
+            if len(held) > self.size:
+                gone = held.popleft()
+                sums = [s - x for s, x in zip(sums, gone[2])]
+                for seen, value in zip(kinds, gone[3]):
+                    if value is not None:
+                        seen[value] -= 1
+                        if not seen[value]:
+                            del seen[value]
+            if len(row) > 5:
+                totals = [t + x for t, x in zip(totals, row[5]["steps"])]
+                yield Row(row=row[5]["row"], n=len(held), sums=sums, kinds=[len(s) for s in kinds], totals=totals,
+                          notes=[h[4] for h in held])
+        self.tail.put([r[:5] for r in list(held)[-(self.size - 1):]])
+        self.totals.update((totals,))
+        if self.idle_ms is not None:
+            self._wait(max((r[0] for r in held if r[0] is not None), default=0) // 1000)
+
+    def _was_idle(self, held, row) -> bool:
+        """Whether the actor had been silent for too long; the timer only comes after the batch's rows."""
+        return bool(self.idle_ms is not None and held and held[-1][0] is not None
+                    and row[0] - held[-1][0] > self.idle_ms * 1000)
+
+    def _wait(self, last_ms: int) -> None:
+        before = self.last.get()[0] if self.last.exists() else None
+        if before != last_ms:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(last_ms + self.idle_ms)
+            self.last.update((last_ms,))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.tail.put([(r["us"], r["id"], r["flags"], r["values"], r["note"]) for r in initialState["tail"]])
+        self.totals.update((initialState["totals"],))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.tail.clear()
+        self.totals.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _asked(keys: list[str], columns: list[str], flags: list[Column], steps: list[Column], values: list[Column],
+           note: Column) -> list[Column]:
+    return [*[F.col(k) for k in keys], F.col("us"), F.col("audit_id").cast("bigint").alias("id"),
+            F.array(*[flag(c) for c in flags]).cast("array<int>").alias("flags"),
+            F.array(*[flag(c) for c in steps]).cast("array<int>").alias("steps"),
+            F.array(*[v.cast("string") for v in values]).cast("array<string>").alias("values"),
+            note.cast("string").alias("note"), F.struct(*columns).alias("row")]
 
 
 class ActorHistory:
-    """Feature rows (and token windows) of a stream of normalised events."""
-
-    def __init__(self, spark: SparkSession, root: str, out: str, keys: list[str] = W.GROUP,
-                 size: int = K.WINDOW_EVENTS, with_tokens: bool = False,
-                 idle_us: int | None = None, **split):
-        self.out, self.keys, self.size, self.split = out, keys, size, split
-        self.with_tokens, self.idle_us = with_tokens, idle_us
-        self.tail = TableState(spark, f"{root}/tail", EVENT_FIELDS, keys)
-        names = ", ".join(f"{k} {'bigint' if k == 'session' else 'string'}" for k in keys)
-        sums = ", ".join(f"cum_{c} bigint" for c in W.CUMULATIVE)
-        self.sums = TableState(spark, f"{root}/sums", f"{names}, {sums}, last_us bigint", keys)
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        fields = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
-        new = batch.select(*fields).withColumn("_old", F.lit(False))
-        touched = self.tail.touched(new)
-        old = self.tail.read(batch_id, touched).withColumn("_old", F.lit(True))
-        both = old.unionByName(new)
-        if self.with_tokens:
-            rows = W.token_windows(both, self.keys, self.size, context="_old", **self.split)
-        else:
-            rows = self._features(both, batch_id, touched)
-        rows.drop("_old").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        self._advance(both, new, batch_id, touched)
-
-    def _features(self, both: DataFrame, batch_id: int, touched: list[int]) -> DataFrame:
-        rows = W.window_features(both, self.keys, self.size, context="_old", **self.split)
-        before = self.sums.read(batch_id, touched).select(
-            *self.keys, *[F.col(f"cum_{c}").alias(f"_b_{c}") for c in W.CUMULATIVE])
-        rows = rows.join(before, self.keys, "left")
-        return rows.withColumns({
-            f"cum_{c}": F.col(f"cum_{c}") + F.coalesce(f"_b_{c}", F.lit(0)) for c in W.CUMULATIVE
-        }).drop(*[f"_b_{c}" for c in W.CUMULATIVE])
-
-    def _advance(self, both: DataFrame, new: DataFrame, batch_id: int, touched: list[int]) -> None:
-        # A row_number limit is applied before the shuffle too, so a busy actor sends few rows.
-        newest = Window.partitionBy(*self.keys).orderBy(F.desc("us"), F.desc("audit_id"))
-        tail = both.withColumn("_rn", F.row_number().over(newest)).where(
-            F.col("_rn") < self.size).drop("_rn", "_old")
-        fresh = new.groupBy(*self.keys).agg(
-            *[F.sum(flag(make())).cast("bigint").alias(f"cum_{c}")
-              for c, make in W.CUMULATIVE.items()], F.max("us").alias("last_us"))
-        sums = self.sums.read(batch_id, touched).unionByName(fresh).groupBy(*self.keys).agg(
-            *[F.sum(f"cum_{c}").alias(f"cum_{c}") for c in W.CUMULATIVE],
-            F.max("last_us").alias("last_us"))
+    """Feature rows (and token windows) of a stream of normalised events, as streams.
+
+    ``before`` is a batch table of earlier events: the stream starts with what they leave behind. With
+    ``idle_us`` (event time, needs a watermark on the stream) actors are forgotten that have been silent so long.
+    """
+
+    def __init__(self, keys: list[str] = W.GROUP, size: int = K.WINDOW_EVENTS, before: DataFrame | None = None,
+                 idle_us: int | None = None):
+        self.keys, self.size, self.before, self.idle_us = keys, size, before, idle_us
+
+    def _run(self, events: DataFrame, flags: dict, steps: dict, values: dict, note: Column) -> DataFrame:
+        use_engine_state(events.sparkSession)
+        columns = events.columns
+        asked = _asked(self.keys, columns, list(flags.values()), list(steps.values()), list(values.values()), note)
         if self.idle_us is not None:
-            now = new.agg(F.max("us")).first()[0]
-            if now is not None:
-                sums = sums.where(F.col("last_us") > now - self.idle_us)
-            tail = tail.join(sums.select(*self.keys), self.keys, "left_semi")
-        self.tail.write(tail, batch_id, touched)
-        self.sums.write(sums, batch_id, touched)
-
-
-class EpisodeAlerts:
-    """Alert when an episode's fired windows reach K; once, or per batch with ``re_alert``."""
-
-    def __init__(self, spark: SparkSession, root: str, out: str, keys: list[str] = W.GROUP,
-                 threshold: float = 0.5, k: int = K.HYSTERESIS_K, re_alert: bool = False):
-        self.out, self.keys, self.threshold = out, keys, threshold
-        self.k, self.re_alert = k, re_alert
-        names = ", ".join(f"{x} {'bigint' if x == 'session' else 'string'}" for x in keys)
-        self.state = TableState(spark, f"{root}/episodes",
-                                f"{names}, fired bigint, max_prob double, alerted boolean", keys)
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy(*self.keys).agg(
-            F.count_if(F.col("prob") >= self.threshold).alias("fired"),
-            F.max("prob").alias("max_prob"), F.lit(False).alias("alerted"))
-        seen = self.state.touched(batch)
-        total = self.state.read(batch_id, seen).unionByName(fresh).groupBy(*self.keys).agg(
-            F.sum("fired").alias("fired"), F.max("max_prob").alias("max_prob"),
-            F.bool_or("alerted").alias("alerted"))
-        hit = F.col("fired") >= self.k
-        touched = total.join(fresh.select(*self.keys), self.keys, "left_semi")
-        due = hit if self.re_alert else hit & ~F.col("alerted")
-        touched.where(due).select(*self.keys, "fired", "max_prob").write.mode(
-            "overwrite").parquet(f"{self.out}/batch={batch_id}")
-        self.state.write(total.withColumn("alerted", F.col("alerted") | hit), batch_id, seen)
-
-
-class LiveAlerts:
-    """From events to alert records in one job, per micro-batch.
-
-    Events go through ``ActorHistory``, ``score`` adds ``prob`` to the feature rows, and episodes whose
-    fired windows reach K give an alert with its severity, the rules that explain it and the last event
-    seen. Counters of the batch (alerts by severity and by reason, active actors) are written beside.
+            asked.append(F.col("ts"))
+        ready = events.select(*asked)
+        out = T.StructType([
+            T.StructField("row", ready.schema["row"].dataType), T.StructField("n", T.LongType()),
+            *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("sums", "kinds", "totals")],
+            T.StructField("notes", T.ArrayType(T.StringType()))])
+        idle = None if self.idle_us is None else self.idle_us // 1000
+        start = None if self.before is None else self._start(flags, steps, values, note)
+        return ready.groupBy(*self.keys).transformWithState(
+            LastEvents(self.size, len(flags), len(steps), len(values), idle), out, "Append",
+            "None" if idle is None else "EventTime", initialState=start)
+
+    def _start(self, flags, steps, values, note):
+        """State after the earlier events: the last rows and the totals of each key."""
+        rows = self.before.select(*_asked(
+            self.keys, self.before.columns, list(flags.values()), list(steps.values()), list(values.values()), note))
+        last = F.struct("us", "id", "flags", "values", "note")
+        newest = Window.partitionBy(*self.keys).orderBy(F.desc("us"), F.desc("id"))
+        tail = rows.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") < self.size).groupBy(
+            *self.keys).agg(F.sort_array(F.collect_list(last)).alias("tail"))
+        totals = rows.groupBy(*self.keys).agg(F.array(*[
+            F.sum(F.col("steps")[i]).cast("bigint") for i in range(len(steps))]).cast("array<bigint>").alias("totals"))
+        return tail.join(totals, self.keys).groupBy(*self.keys)
+
+    def features(self, events: DataFrame) -> DataFrame:
+        """The events with the features of ``windows.window_features``."""
+        flags, values = W.counted_conditions(), W.distinct_values()
+        steps = {name: make() for name, make in W.CUMULATIVE.items()}
+        found = self._run(events, flags, steps, values, F.lit(None))
+        counts = {"n_events": F.col("n"),
+                  **{c: F.col("sums")[i] for i, c in enumerate(flags)},
+                  **{c: F.col("kinds")[i] for i, c in enumerate(values)},
+                  **{f"cum_{c}": F.col("totals")[i] for i, c in enumerate(steps)}}
+        return W.derived_features(found.select("row.*", *[v.alias(c) for c, v in counts.items()]),
+                                  events.columns, self.size)
+
+    def token_windows(self, events: DataFrame) -> DataFrame:
+        """The events with ``tokens``, their actor's last ones, padded on the left."""
+        found = self._run(events, {}, {}, {}, W.token_column())
+        padding = F.array_repeat(F.lit("<PAD>"), F.lit(self.size) - F.size("notes"))
+        return found.select("row.*", F.concat(padding, "notes").alias("tokens"))
+
+
+class EpisodeAlerts(StatefulProcessor):
+    """One alert row when an episode's fired windows reach ``k``; with ``re_alert`` one per batch from then on.
+
+    State per episode: fired windows, highest probability, rules seen so far and the last event, over
+    all batches. Reads ``prob``, ``us``, ``audit_id``, ``verb``, ``resource`` and one boolean per reason.
     """
 
-    def __init__(self, spark: SparkSession, root: str, out: str, score, keys: list[str] = W.GROUP, **kw):
-        self.spark, self.out, self.score, self.keys = spark, out, score, keys
-        self.history = ActorHistory(spark, f"{root}/history", f"{out}/features", keys)
-        self.episodes = EpisodeAlerts(spark, f"{root}/episodes", f"{out}/episodes", keys, **kw)
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        self.history.process(batch, batch_id)
-        part = f"batch={batch_id}"
-        rows = self.score(self.spark.read.parquet(f"{self.out}/features/{part}"))
-        self.episodes.process(rows, batch_id)
-        due = self.spark.read.parquet(f"{self.out}/episodes/{part}")
-        seen = rows.groupBy(*self.keys).agg(
-            F.max_by(F.struct("verb", "resource"), F.struct("us", "audit_id")).alias("last"),
-            *[F.bool_or(cond).alias(f"_r_{name}") for name, cond in window_signals().items()])
-        reasons = F.array_compact(F.array(*[F.when(F.col(f"_r_{n}"), n) for n in window_signals()]))
-        alerts = due.join(seen, self.keys).select(
-            *self.keys, F.col("fired").alias("n_windows_fired"), "max_prob",
-            severity_band(F.col("max_prob")).alias("severity"), reasons.alias("reasons"),
-            F.col("last.verb").alias("last_verb"), F.col("last.resource").alias("last_resource"))
-        alerts.write.mode("overwrite").parquet(f"{self.out}/alerts/{part}")
-        alerts = self.spark.read.schema(alerts.schema).parquet(f"{self.out}/alerts/{part}")
-        count = F.count(F.lit(1)).alias("value")
-        counters = (
-            alerts.groupBy(F.lit("alerts_by_severity").alias("metric"), F.col("severity").alias("label")).agg(count)
-            .unionByName(alerts.select(F.explode("reasons").alias("label")).groupBy(
-                F.lit("alerts_by_reason").alias("metric"), "label").agg(count))
-            .unionByName(batch.agg(F.count_distinct("actor").alias("value")).select(
-                F.lit("active_actors").alias("metric"), F.lit("").alias("label"), "value")))
-        counters.write.mode("overwrite").parquet(f"{self.out}/counters/{part}")
+    def __init__(self, keys: list[str], reasons: list[str], threshold: float, k: int, re_alert: bool):
+        self.keys, self.reasons, self.threshold, self.k, self.re_alert = keys, reasons, threshold, k, re_alert
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState(
+            "episode", "fired bigint, max_prob double, alerted boolean, reasons array<boolean>, us bigint, "
+            "audit_id bigint, verb string, resource string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fired, top, alerted, seen, *last = tuple(self.state.get()) if self.state.exists() else (
+            0, None, False, [False] * len(self.reasons), None, None, None, None)
+        for r in rows:
+            if r["prob"] is not None:
+                fired += r["prob"] >= self.threshold
+                top = r["prob"] if top is None else max(top, r["prob"])
+            seen = [a or bool(r[n]) for a, n in zip(seen, self.reasons)]
+            last = max(last, [r["us"], r["audit_id"], r["verb"], r["resource"]], key=_in_order)
+        due = fired >= self.k and (self.re_alert or not alerted)
+        self.state.update((fired, top, alerted or fired >= self.k, seen, *last))
+        if due:
+            yield Row(**dict(zip(self.keys, key)), n_windows_fired=fired, max_prob=top,
+                      reasons=[n for n, s in zip(self.reasons, seen) if s], last_verb=last[2], last_resource=last[3])
+
+    def close(self) -> None:
+        pass
+
+
+def episode_alerts(scored: DataFrame, keys: list[str] = W.GROUP, threshold: float = 0.5, k: int = K.HYSTERESIS_K,
+                   re_alert: bool = False, reasons: dict[str, Column] | None = None) -> DataFrame:
+    """Alert rows of a stream of scored windows: keys, ``n_windows_fired``, ``max_prob``, ``severity``, ``reasons``,
+    ``last_verb`` and ``last_resource``. ``reasons`` are conditions over the windows."""
+    use_engine_state(scored.sparkSession)
+    reasons = reasons or {}
+    text = [F.col(c) if c in scored.columns else F.lit(None).cast("string").alias(c) for c in ("verb", "resource")]
+    place = [F.col(c).cast("bigint") if c in scored.columns else F.lit(None).cast("bigint").alias(c)
+             for c in ("us", "audit_id")]
+    ready = scored.select(*keys, F.col("prob").cast("double").alias("prob"), *place, *text,
+                          *[F.coalesce(c, F.lit(False)).alias(n) for n, c in reasons.items()])
+    out = T.StructType([
+        *[scored.schema[k_] for k_ in keys], T.StructField("n_windows_fired", T.LongType()),
+        T.StructField("max_prob", T.DoubleType()), T.StructField("reasons", T.ArrayType(T.StringType())),
+        T.StructField("last_verb", T.StringType()), T.StructField("last_resource", T.StringType())])
+    alerts = ready.groupBy(*keys).transformWithState(
+        EpisodeAlerts(keys, list(reasons), threshold, k, re_alert), out, "Append", "None")
+    return alerts.withColumn("severity", severity_band(F.col("max_prob")))
+
+
+def live_alerts(events: DataFrame, score, keys: list[str] = W.GROUP, history: ActorHistory | None = None, **kw
+                ) -> DataFrame:
+    """From events to alert records in one streaming query: features, ``score`` (adds ``prob``), episodes."""
+    rows = score((history or ActorHistory(keys)).features(events))
+    return episode_alerts(rows, keys, reasons=window_signals(), **kw)
+
+
+def first_seen(events: DataFrame, column: str) -> DataFrame:
+    """A row when a value comes up for the first time, over all batches; nulls count as a value."""
+    return events.select(column).dropDuplicates([column])
