@@ -19,15 +19,19 @@ def _plain(rows, order, least, top, cover):
     n, f = Counter(), Counter()
     for lang, text in rows:
         for words in _pieces(text):
-            n[lang or "und" if lang is None else lang] += len(words)
+            n["und" if lang is None else lang] += len(words)
             for size in range(1, order + 1):
                 for i in range(len(words) - size + 1):
                     f["und" if lang is None else lang, tuple(words[i:i + size])] += 1
     held = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    most = Counter()
+    for (lang, ws), b in held.items():
+        for size in range(2, len(ws)):
+            for i in range(len(ws) - size + 1):
+                most[lang, ws[i:i + size]] = max(most[lang, ws[i:i + size]], b)
     out = []
     for (lang, ws), a in held.items():
-        inside = any(100 * b >= cover * a for (other, longer), b in held.items() if other == lang and len(longer) > len(ws)
-                     and any(longer[i:i + len(ws)] == ws for i in range(len(longer) - len(ws) + 1)))
+        inside = (lang, ws) in most and 100 * most[lang, ws] >= cover * a
         if not inside:
             cuts = [(1000 * a * n[lang] // (f[lang, ws[:k]] * f[lang, ws[k:]]), k) for k in range(1, len(ws))]
             score, k = min(cuts)
