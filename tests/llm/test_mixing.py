@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tracewell.llm import mixing
 from tracewell.llm.mixing import mix, source_targets, take_mix
 from tracewell.llm.words import word_count
 
@@ -56,3 +57,28 @@ def test_odd_rows(odd):
 def test_no_rows(nothing):
     assert take_mix(nothing).count() == 0
     assert mix(nothing, "doc_id", "source", word_count(F.col("text"))).count() == 0
+
+
+def test_repeats_are_cut_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 64)
+    words = " ".join(["w"] * 10)
+    docs = spark.range(1000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.lit("b").alias("source"),
+        F.lit(words).alias("text"), (F.col("id") % 3).alias("copies"), F.lit("z").alias("key"))
+    docs = docs.unionByName(spark.range(2000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id") + 5000).alias("doc_id"), F.lit("a").alias("source"),
+        F.lit(words).alias("text"), F.lit(1).alias("copies"), F.lit("y").alias("key")))
+    docs = docs.unionByName(spark.range(400).selectExpr(
+        "CAST(NULL AS BIGINT) AS doc_id", "'c' AS source", f"'{words}' AS text", "5 AS copies", "'x' AS key"))
+    taken, target, n = {}, {}, {}
+    for r in mix(docs, "doc_id", "source", word_count(F.col("text"))).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"] * r["n"]
+        n[r["source"]] = n.get(r["source"], 0) + r["n"]
+        target[r["source"]] = r["target"]
+    assert n == {"a": 2000, "b": 1000, "c": 400}
+    assert all(abs(taken[s] - target[s]) <= 20 for s in target)
+    out = take_mix(docs)
+    kept = {r["source"]: r["words"] for r in out.groupBy("source").agg(
+        (F.sum("copies") * 10).alias("words")).collect()}
+    assert kept == taken and out.columns == ["doc_id", "source", "text", "key", "copies"]
+    assert out.count() <= 3400 and out.where("copies NOT IN (1, 2)").count() == 0

@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import random
 
 from tracewell.llm import warc as W
@@ -72,3 +74,42 @@ def test_segments_out_of_order_missing_or_broken(spark, tmp_path):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert W.archive_round_trip(df).count() == 0
+
+
+def _foreign(fields, block=b"HTTP/1.1 200 OK\r\n\r\nhello"):
+    head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": "response", **fields}.items())
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r"
+
+
+def test_foreign_headers(spark, tmp_path):
+    sha = hashlib.sha1(b"hello")
+    b32 = base64.b32encode(sha.digest()).decode()
+    good = [{"WARC-Payload-Digest": f"sha1:{x}"} for x in (b32, b32.lower(), sha.hexdigest(), sha.hexdigest().upper())]
+    good += [{"WARC-Payload-Digest": "sha256:zz"}, {"X-Page-Id": "-7"}, {}]
+    bad = [{"WARC-Payload-Digest": "sha1:abc"}, {"WARC-Payload-Digest": "sha1:"}, {"X-Page-Id": "\u00b2"},
+           {"X-Page-Id": "--1"}, {"WARC-Segment-Number": str(1 << 31)}, {"X-Page-Id": "9" * 30}]
+    got = _records(spark, tmp_path, [_foreign({"WARC-Record-ID": str(i), **f}) for i, f in enumerate(good + bad)], "f")
+    assert len(got) == len(good) + len(bad)
+    for r in got:
+        if int(r["record_id"]) < len(good):
+            assert bytes(r["payload"]) == b"hello" and r["problem"] is None
+        else:
+            assert r["payload"] is None and r["problem"].startswith("bad ")
+    wrong = _records(spark, tmp_path, [_foreign({"WARC-Payload-Digest": "sha1:" + "da39" * 10})], "w")
+    assert [r["problem"] for r in wrong] == ["digest differs"]
+
+
+def test_reading_goes_on_behind_a_broken_record(spark, tmp_path):
+    whole = _foreign({"WARC-Record-ID": "a"})
+    cut = whole.replace(b"Content-Length: 24", b"Content-Length: 99")
+    odd = whole.replace(b"Content-Length: 24", "Content-Length: \u00b2".encode())
+    assert cut != whole != odd
+    got = _records(spark, tmp_path, [whole, cut, whole, odd, whole], "b")
+    assert sum(r["problem"] is None for r in got) == 3 and sum(r["problem"] is not None for r in got) == 2
+    member = gzip.compress(whole + b"\n")
+    broken = member[:14] + b"\xff\xff\xff" + member[17:]
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.gz").write_bytes(member + broken + member)
+    got = W.reassemble(W.read_records(spark, str(folder))).collect()
+    assert sum(r["problem"] is None for r in got) == 2 and any(r["problem"] for r in got)

@@ -6,13 +6,13 @@ far, divided by the source's target. All copies are then sorted by finish time a
 is cut where the total budget is reached. So all sources are served at speeds in proportion to
 their targets, and each stops within about one document of its target.
 
-Defined results: rows equal in id, source and size share one place in the order and one decision; a
+Defined results: rows equal in id, source and size are served one after the other, each on its own; a
 null source is a source (the last); a null id sorts first among equal hashes; documents without
 words take nothing; an empty table, or one without words, gives targets of 0. Equal finish times are
-ordered by source, round and hash, so reruns agree.
+ordered by source, round, hash and repeat, so reruns agree.
 
-Only ids, sources and sizes are shuffled. A source may hold any share of the rows: the two orders
-are cut at sampled range borders (``range_totals``), not by source.
+Only ids, sources and sizes are shuffled, repeats as a count. A source, or a repeated row, may hold any
+share of the rows: the two orders are cut at sampled range borders (``range_totals``), not by source.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from tracewell.session import broadcast_if_small, written_table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+# Repeats of one row that a task numbers at a time.
+REPEATS = 100_000
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -69,10 +71,23 @@ def source_targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str, source: str, size: Column, weights=WEIGHTS,
-        share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per (``doc_id``, ``source``, ``size``): ``n`` rows, ``source_size``, ``target``,
-    ``copies`` taken of each row and ``taken`` words of each row."""
+def one_by_one(units: DataFrame) -> DataFrame:
+    """Each unit ``n`` times, numbered from 1 in ``repeat``; units with many repeats go to several tasks."""
+    few = F.col("n") <= REPEATS
+    blocks = units.where(~few).select("*", F.explode(F.sequence(
+        F.lit(0), F.expr(f"(n - 1) DIV {REPEATS}").cast("int"))).alias("_block"))
+    blocks = blocks.repartition(F.xxhash64(*units.columns, "_block"))
+    blocks = units.where(few).withColumn("_block", F.lit(0)).unionByName(blocks)
+    first = F.col("_block").cast("bigint") * REPEATS
+    return blocks.select(*units.columns, F.explode(F.sequence(
+        first + 1, F.least(F.col("n"), first + REPEATS))).alias("repeat"))
+
+
+def served_units(docs: DataFrame, doc_id: str, source: str, size: Column, weights=WEIGHTS,
+                 share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per (``doc_id``, ``source``, ``size``): ``n`` rows, ``source_size``, ``target``; each row is
+    taken ``each`` times and ``more`` of them once more, where the cut falls between repeats.
+    """
     units = written_table(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                     size.cast("bigint").alias("size"))
@@ -81,36 +96,59 @@ def mix(docs: DataFrame, doc_id: str, source: str, size: Column, weights=WEIGHTS
     placed = units.join(sources, units["source"].eqNullSafe(sources["source"])).drop(
         sources["source"])
     served = range_totals(
-        placed.withColumns({"words": F.col("size") * F.col("n"),
-                            "key": shuffle_key(F.col("doc_id"))}),
-        [F.col("place"), F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size")],
-        {"until": F.col("words")})
+        one_by_one(placed.where(F.col("size") > 0)).withColumn("key", shuffle_key(F.col("doc_id"))),
+        [F.col("place"), F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("repeat")],
+        {"until": F.col("size")})
     copies = (
-        served.where(F.col("words") > 0)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("round"))
+        served.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("round"))
         .withColumn("finish", (F.col("round") * F.col("source_size") + F.col("until")
                                - F.col("start")) / F.col("target")))
     budget = sources.agg(F.sum("target")).first()[0] or 0.0
     queue = range_totals(
-        copies.select("doc_id", "source", "size", "words", "place", "round", "key", "finish"),
+        copies.select("doc_id", "source", "size", "repeat", "place", "round", "key", "finish"),
         [F.col("finish"), F.col("place"), F.col("round"), F.col("key"),
-         F.col("doc_id").asc_nulls_first(), F.col("size")], {"total": F.col("words")})
+         F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("repeat")], {"total": F.col("size")})
     taken = (queue.where(F.col("total") <= F.lit(budget)).groupBy("doc_id", "source", "size")
-             .agg(F.count(F.lit(1)).alias("copies")))
+             .agg(F.count(F.lit(1)).alias("times")))
     same = [placed[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size")]
+    # A source's queue starts a round only after the one before, so repeats differ by one copy at most.
     return placed.join(taken, same[0] & same[1] & same[2], "left").select(
         placed["doc_id"], placed["source"], placed["size"], "n", "source_size", "target",
-        F.coalesce("copies", F.lit(0)).alias("copies"),
-        (placed["size"] * F.coalesce("copies", F.lit(0))).alias("taken"))
+        F.expr("coalesce(times, 0L) DIV n").alias("each"), F.expr("coalesce(times, 0L) % n").alias("more"))
+
+
+def mix(docs: DataFrame, doc_id: str, source: str, size: Column, **kw) -> DataFrame:
+    """One row per (``doc_id``, ``source``, ``size``, ``copies``): ``n`` rows, ``source_size``, ``target``,
+    ``copies`` taken of each row and ``taken`` words of each row."""
+    parts = F.array(F.struct(F.col("more").alias("n"), (F.col("each") + 1).alias("copies")),
+                    F.struct((F.col("n") - F.col("more")).alias("n"), F.col("each").alias("copies")))
+    return served_units(docs, doc_id, source, size, **kw).select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.inline(F.filter(parts, lambda x: x["n"] > 0))).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
              **kw) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``copies``, how often each goes in."""
-    out = mix(docs, doc_id, source, word_count(F.col(text)), **kw).where(F.col("copies") > 0)
-    taken = out.select(F.struct("doc_id", "source", "size").alias("key"), "copies")
+    units = served_units(docs, doc_id, source, word_count(F.col(text)), **kw)
+    taken = written_table(units.where(F.col("each") + F.col("more") > 0).select(
+        F.struct("doc_id", "source", "size").alias("key"), "each", "more"), "taken")
     rows = docs.select(F.struct("*").alias("row"), F.struct(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         word_count(F.col(text)).alias("size")).alias("key"))
-    kept = rows.join(taken, rows["key"].eqNullSafe(taken["key"]))
-    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copies"], "copies")
+    columns = [*[F.col(f"row.`{c}`") for c in docs.columns if c != "copies"], "copies"]
+    alike = taken.where(F.col("more") == 0).withColumnRenamed("each", "copies")
+    kept = rows.join(alike, rows["key"].eqNullSafe(alike["key"])).select(*columns)
+    # Repeated rows that the cut falls between, a row of ``taken`` per source at most: their order is that
+    # of whole rows.
+    cut = taken.where(F.col("more") > 0).withColumnRenamed("key", "cut")
+    if cut.isEmpty():
+        return kept
+    numbered = range_totals(
+        rows.join(broadcast_if_small(cut), rows["key"].eqNullSafe(cut["cut"])).withColumns({
+            "_name": F.md5(F.to_json("row")), "_id": F.monotonically_increasing_id()}),
+        [F.col("cut"), F.col("_name"), F.col("_id")], {"_nr": F.lit(1)})
+    starts = broadcast_if_small(numbered.groupBy(F.col("cut").alias("_cut")).agg(F.min("_nr").alias("_low")))
+    first = numbered.join(starts, F.col("cut").eqNullSafe(F.col("_cut"))).withColumn(
+        "copies", F.col("each") + (F.col("_nr") - F.col("_low") < F.col("more")).cast("int"))
+    return kept.unionByName(first.where(F.col("copies") > 0).select(*columns))

@@ -158,43 +158,86 @@ RECORD = T.StructType([
     T.StructField("block", T.BinaryType()), T.StructField("problem", T.StringType())])
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of one file, compressed or not; a broken end is a record with ``problem``."""
-    raw, problem = [], None
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """Content of a file whose members may be compressed, and what was wrong with a member, if any.
+
+    Behind a broken member reading goes on at the next one.
+    """
+    out, at, problem = [], 0, None
+    while data[at:at + 2] == b"\x1f\x8b":
+        start, member = at, zlib.decompressobj(31)
         try:
-            raw.append(member.decompress(data))
+            while not member.eof and at < len(data):
+                piece = data[at:at + 1_000_000]
+                out.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
         except zlib.error as e:
-            problem, data = str(e), b""
-            break
-        data = member.unused_data
-    text, at = b"".join([*raw, data]), 0
+            problem = problem or str(e)
+            at = data.find(b"\x1f\x8b\x08", start + 2)
+            at = len(data) if at < 0 else at
+    return b"".join([*out, data[at:]]), problem
+
+
+def header_number(fields: dict, name: str, bits: int) -> tuple[int | None, str | None]:
+    """The field as a number of so many bits, else null with the reason."""
+    text = fields.get(name)
+    if text is None:
+        return None, None
+    if re.fullmatch("-?[0-9]{1,19}", text) and -(1 << bits - 1) <= int(text) < 1 << bits - 1:
+        return int(text), None
+    return None, f"bad {name}"
+
+
+def header_digest(text: str) -> tuple[str | None, str | None]:
+    """Lower-case hex SHA-1 of a digest field in base 32 or hex; other algorithms are not checked."""
+    kind, _, value = text.partition(":")
+    if kind.lower() != "sha1":
+        return None, None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower(), None
+    if re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex(), None
+    return None, "bad warc-payload-digest"
+
+
+def parse_archive(data: bytes) -> Iterator[dict]:
+    """The records of one file, compressed or not.
+
+    Fields that can't be read are null and the record has ``problem``. A stretch that is no whole record
+    is a record with nothing but ``problem``; reading goes on at the next line that begins with ``WARC/``.
+    """
+    text, problem = inflate(data)
+    if problem:
+        yield {"problem": problem}
+    at = 0
     while at < len(text):
         end = text.find(b"\r\n\r\n", at)
         lines = text[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = fields.get("content-length", "")
-        if not lines[0].startswith("WARC/") or not size.isdigit():
-            problem = problem or "no record header"
-            break
+        broken = None
+        if not lines[0].startswith("WARC/") or not re.fullmatch("[0-9]{1,18}", size):
+            broken = "no record header"
+        elif text[end + 4 + int(size):end + 8 + int(size)] != b"\r\n\r\n":
+            broken = "record cut short"
+        if broken:
+            yield {"problem": broken}
+            at = end >= 0 and text.find(b"\nWARC/", at) + 1 or len(text)
+            continue
         stop = end + 4 + int(size)
-        if text[stop:stop + 4] != b"\r\n\r\n":
-            problem = problem or "record cut short"
-            break
-        number = lambda k: int(fields[k]) if fields.get(k, "").lstrip("-").isdigit() else None
-        digest = fields.get("warc-payload-digest", "")
+        numbers = {name: header_number(fields, field, bits) for name, field, bits in (
+            ("segment", "warc-segment-number", 32), ("total", "warc-segment-total-length", 64),
+            ("page_id", "x-page-id", 64), ("refers_to", "x-refers-to-page-id", 64))}
+        digest, problem = header_digest(fields.get("warc-payload-digest", ""))
+        for _, why in numbers.values():
+            problem = problem or why
         yield {"record_id": fields.get("warc-record-id"),
                "origin_id": fields.get("warc-segment-origin-id"),
-               "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
-               "type": fields.get("warc-type"), "page_id": number("x-page-id"),
-               "url": fields.get("warc-target-uri"), "refers_id": fields.get("warc-refers-to"),
-               "refers_to": number("x-refers-to-page-id"),
-               "digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None,
-               "block": text[end + 4:stop], "problem": None}
+               "type": fields.get("warc-type"), "url": fields.get("warc-target-uri"),
+               "refers_id": fields.get("warc-refers-to"), "digest": digest,
+               **{name: n for name, (n, _) in numbers.items()},
+               "block": text[end + 4:stop], "problem": problem}
         at = stop + 4
-    if problem:
-        yield {"problem": problem}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -251,11 +294,12 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = (
         parts.groupBy("origin").agg(
             F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("s"),
-            F.max("total").alias("total"), F.sum(F.when(first, 1).otherwise(0)).alias("n"),
+            F.max("total").alias("total"), F.max("problem").alias("wrong"), F.sum(F.when(first, 1).otherwise(0)).alias("n"),
             *[F.max(F.when(first, F.col(c))).alias(c) for c in shown[1:]])
         .withColumn("block", F.aggregate(F.transform("s", lambda x: x["block"]), F.lit(b""),
                                          lambda a, b: F.concat(a, b)))
-        .withColumn("problem", F.when(F.col("n") == 0, "no first segment")
+        .withColumn("problem", F.when(F.col("wrong").isNotNull(), F.col("wrong"))
+                    .when(F.col("n") == 0, "no first segment")
                     .when(F.element_at("s", -1)["segment"] != F.size("s"), "segment missing")
                     .when(~F.octet_length("block").eqNullSafe(F.col("total")), "total length differs"))
         .select(F.col("origin").alias("record_id"), *shown[1:], F.size("s").alias("segments"),
@@ -263,7 +307,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                 F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int"))))
         .drop("col"))
     every = whole.unionByName(joined)
-    block = F.when(F.col("type") != "revisit", F.col("block"))
+    block = F.when((F.col("type") != "revisit") & F.col("problem").isNull(), F.col("block"))
     return every.withColumn("_d", _decode(block, F.col("digest"))).select(
         *shown, "segments", F.col("_d.payload").alias("payload"),
         F.coalesce("problem", "_d.problem").alias("problem"))
