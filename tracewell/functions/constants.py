@@ -274,3 +274,6 @@ BALANCE_BANDS = [
     (0.5, "SLIGHTLY IMBALANCED"), (0.3, "IMBALANCED"),
 ]
 BALANCE_FLOOR = "HIGHLY IMBALANCED"
+
+# Categories of audit rows in the log store.
+LOG_CATEGORIES = ("kube-audit", "kube-audit-admin")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tracewell import schemas
@@ -13,6 +15,7 @@ from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
 from tracewell.plans.registry import query
 from tracewell.session import scratch_path
+from tracewell.sources import logstore as L
 from tracewell.sources import readers as R
 from tracewell.sources import writers as S
 
@@ -36,12 +39,23 @@ def _lit(ts: str):
     return F.lit(ts).cast("timestamp")
 
 
+STORED = "seq bigint, copy int, us bigint, time_generated timestamp, category string, log_s string"
+
+
+def log_store(spark, sf):
+    """The derived log rows as a log store."""
+    path = scratch_path(spark, "log-store")
+    L.write_log_store(V.audit_lines(spark, sf), path)
+    return path
+
+
 @query("src_log_table", f"""WITH {V.LINES} SELECT audit_id AS seq, CAST(copy AS INT) AS copy, us
   FROM lines WHERE category IN ('kube-audit', 'kube-audit-admin')
   AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""")
 def src_log_table(spark, sf):
-    return R.log_rows(V.audit_lines(spark, sf), _lit("2024-01-05"), _lit("2024-01-20")).select(
-        "seq", "copy", "us")
+    return L.read_log_store(
+        spark, log_store(spark, sf), STORED, datetime(2024, 1, 5), datetime(2024, 1, 20),
+        K.LOG_CATEGORIES).select("seq", "copy", "us")
 
 
 @query("src_log_lookback", f"""WITH {V.LINES} SELECT audit_id AS seq, CAST(copy AS INT) AS copy
@@ -54,8 +68,8 @@ def src_log_lookback(spark, sf):
   FROM lines WHERE ts BETWEEN TIMESTAMP '2024-01-08' - INTERVAL 2 MINUTE
   AND TIMESTAMP '2024-01-09' + INTERVAL 6 MINUTE""")
 def src_log_padded_range(spark, sf):
-    return R.log_padded_range(V.audit_lines(spark, sf), _lit("2024-01-08"), _lit("2024-01-09")
-                              ).select("seq", "copy")
+    return L.read_padded_range(spark, log_store(spark, sf), datetime(2024, 1, 8), datetime(2024, 1, 9),
+                               STORED).select("seq", "copy")
 
 
 @query("src_log_payload_filter", f"""WITH {V.LINES} SELECT audit_id AS seq, CAST(copy AS INT) AS copy,

@@ -12,9 +12,11 @@ from tracewell.operators.windows import window_features
 from tracewell.plans import sqltext as Q
 from tracewell.plans import views as V
 from tracewell.plans.q_correlate import ALERTS, INC, METRICS, metrics
+from tracewell.plans.q_sources import STORED, log_store
 from tracewell.plans.q_windows import TOKENS
 from tracewell.plans.registry import query
 from tracewell.session import scratch_path
+from tracewell.sources.logstore import stream_log_store
 from tracewell.sources.readers import parse_json_lines, stream_json
 from tracewell.sources.writers import write_alert_stream
 from tracewell.streaming import jobs as S
@@ -76,8 +78,9 @@ def str_dedup(spark, sf):
   SELECT audit_id AS seq, actor FROM r WHERE json_id = '' UNION ALL
   SELECT DISTINCT audit_id, actor FROM r WHERE json_id <> ''""")
 def str_poll_source(spark, sf):
-    ev = N.flatten_event(landed_events(spark, sf).where(F.col("category") != "other"))
-    ev = ev.withColumnRenamed("time_generated", "ts")
+    rows = stream_log_store(spark, log_store(spark, sf), STORED, K.LOG_CATEGORIES, settle_seconds=0)
+    lines = parse_json_lines(rows, "log_s", schemas.AUDIT_EVENT).where(~F.col("_bad"))
+    ev = N.flatten_event(lines).withColumnRenamed("time_generated", "ts")
     out, state = scratch_path(spark, "poll"), scratch_path(spark, "poll-cp")
 
     def keep(df, batch_id):

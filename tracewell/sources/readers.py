@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import schemas
+from tracewell.functions import constants as K
 from tracewell.functions.scalars import parse_iso
 from tracewell.session import broadcast_if_small
 
@@ -32,7 +33,7 @@ def line_counts(parsed: DataFrame) -> DataFrame:
 
 
 def log_rows(df: DataFrame, start: Column, end: Column,
-             categories: tuple[str, ...] = ("kube-audit", "kube-audit-admin")) -> DataFrame:
+             categories: tuple[str, ...] = K.LOG_CATEGORIES) -> DataFrame:
     """Rows of a log table by category and time range; both filters reach the scan."""
     return df.where(F.col("category").isin(*categories)
                     & F.col("time_generated").between(start, end))
