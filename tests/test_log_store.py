@@ -1,4 +1,4 @@
-"""The log store: what is pushed, what is opened, and what a stream reads when."""
+"""The log store: which rows and files a range reads, and what a stream reads when."""
 
 import datetime as dt
 import glob
