@@ -12,9 +12,10 @@ times n bits. Two sets differ in at least as many shingles as their bitmaps in b
 ``similarity`` in (1 - similarity) / (1 + similarity) times n + m at most, so no pair is lost. A bitmap is a
 32nd of its set, and hardly a pair below the limit survives it.
 
-What survives is decided by the whole sets, in two rounds. First each text is compared only with its
-neighbour by size and with the smallest one under every shared shingle, which joins the bulk of large
-groups. Then all pairs of near sizes are compared that aren't in one component yet.
+What survives is decided by the whole sets, in two rounds. First each text is compared with the pairs that
+another search brings in (``search``, for the pipeline the fingerprints' pivot tables) and with its neighbour by
+size and the smallest one under every shared shingle, which joins the bulk of large groups. Then all pairs
+of near sizes are compared that aren't in one component yet.
 
 Defined results: texts with equal sets are near copies, also those without words (or null); texts with
 fewer words than a shingle have one shingle; an empty table gives no rows.
@@ -22,7 +23,7 @@ fewer words than a shingle have one shingle; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,13 +133,19 @@ def _distance(x: str, y: str) -> Column:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
-                similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``root`` (equal for all texts of a component) of every document."""
+                similarity: float = SIMILARITY, fp: Column | None = None,
+                search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``root`` (equal for all texts of a component) of every document.
+
+    ``search`` takes the ``node`` and fingerprint ``fp`` of every document and gives pairs ``a``, ``b`` of nodes, which
+    are decided by their sets like all others.
+    """
     common = common_shingles(docs, text, size)
     prints = written_table(
         docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                    *([] if fp is None else [fp.alias("fp")]),
                     signatures(F.col(text), common, size, similarity).alias("s"))
-        .select("doc_id", "text_hash", "s.*"), "prints")
+        .select("doc_id", "text_hash", *([] if fp is None else ["fp"]), "s.*"), "prints")
     several = F.count(F.lit(1)).over(Window.partitionBy("h"))
     places = prints.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "h"))
     shared = written_table(
@@ -149,10 +156,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     # A row whose neighbours by size are out of reach has no candidate at all.
     by_size = Window.partitionBy("h").orderBy("n", "node")
     beside = F.array(F.lag(F.struct("node", "n")).over(by_size), F.first(F.struct("node", "n")).over(by_size))
-    first = written_table(
-        shared.select("node", "n", beside.alias("beside")).select("node", "n", F.explode("beside").alias("x"))
-        .where((F.col("x.node") != F.col("node")) & fits(F.col("x.n"), F.col("n")))
-        .select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), "pairs")
+    first = (shared.select("node", "n", beside.alias("beside")).select("node", "n", F.explode("beside").alias("x"))
+             .where((F.col("x.node") != F.col("node")) & fits(F.col("x.n"), F.col("n")))
+             .select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")))
+    if search is not None:
+        first = first.unionByName(search(prints.select("node", "fp")).where(F.col("a") != F.col("b")).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    first = written_table(first.distinct(), "pairs")
     wanted = written_table(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     bitmaps = written_table(
         prints.select("node", "n", "parity", "text_hash").join(broadcast_if_small(wanted), "node").groupBy("node").agg(
