@@ -90,9 +90,9 @@ def str_poll_source(spark, sf):
     return spark.read.parquet(out).select("seq", "actor")
 
 
-def features(spark, sf):
-    """The stream of feature rows."""
-    return ST.ActorHistory().features(audit_stream(spark, sf))
+def features(spark, sf, keep=("audit_id",)):
+    """The stream of feature rows, with these columns of the events."""
+    return ST.ActorHistory().features(audit_stream(spark, sf), list(keep))
 
 
 @query("str_actor_history", f"WITH {Q.FEATURES} SELECT audit_id, {', '.join(K.ALL_FEATURES)} FROM feat")
@@ -113,7 +113,7 @@ def str_cumulative(spark, sf):
   SELECT audit_id, array_to_string(list_concat(list_transform(range(20 - len(l)), lambda x: '<PAD>'), l), ' ')
     AS tokens FROM tk""")
 def str_token_stream(spark, sf):
-    rows = ST.ActorHistory().token_windows(S.tokens(audit_stream(spark, sf)))
+    rows = ST.ActorHistory().token_windows(S.tokens(audit_stream(spark, sf)), ["audit_id"])
     return drain(spark, rows.select("audit_id", F.array_join("tokens", " ").alias("tokens")), "tokens")
 
 
@@ -131,7 +131,8 @@ def with_prob(df):
   GROUP BY session, actor HAVING count(*) FILTER (WHERE prob >= 0.5) >= 2""",
        rounded=("max_prob",))
 def str_episode_alert(spark, sf):
-    alerts = ST.episode_alerts(with_prob(features(spark, sf)))
+    alerts = ST.episode_alerts(with_prob(features(
+        spark, sf, ["session", "actor", "us", "audit_id", "verb", "resource", "k"])))
     return drain(spark, alerts.select("session", "actor", F.col("n_windows_fired").alias("fired"), "max_prob"), "alerts")
 
 
@@ -224,7 +225,7 @@ def sink_counters(spark, sf):
   WHERE value / (value + 50) >= 0.5""")
 def sink_alert_stream(spark, sf):
     """Token windows are scored and turned into alert records inside the live query."""
-    rows = ST.ActorHistory().token_windows(audit_stream(spark, sf))
+    rows = ST.ActorHistory().token_windows(audit_stream(spark, sf), ["audit_id", "actor", "value"])
     scored = rows.withColumn("prob", F.col("value") / (F.col("value") + 50))
     alerts = S.alert_records(scored).withColumn("last_tokens", F.array_join("last_tokens", " "))
     path = scratch_path(spark, "alerts")
