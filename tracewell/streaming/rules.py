@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tracewell.streaming.jobs import LATENESS
-from tracewell.streaming.state import use_engine_state
+from tracewell.streaming.state import _fields, use_engine_state
 
 WAIT_US = 5_000_000
 INTERVAL_US = 10_000_000
@@ -131,14 +131,20 @@ class Notify(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         g = self._load()
-        for us, instance in sorted((r["us"], r["instance"] or "") for r in rows):
+        same: dict[str, str] = {}  # one string per instance, however often it fires
+        firings = sorted((us, same.setdefault(x or "", x or "")) for us, x in _fields(rows, ["us", "instance"]))
+        # The state is asked and told once per instance, not per firing.
+        known: dict[str, int] = {}
+        cleared = False
+        for us, instance in firings:
             if g["due"] is not None and g["due"] <= us:
                 yield self._notify(key[0], g)
             if g["due"] is None and g["last"] is not None and us - g["fired"] > self.repeat_us:
-                self.known.clear()
+                known.clear()
+                cleared = True
                 g["last"] = None
-            fresh = not self.known.containsKey((instance,))
-            self.known.updateValue((instance,), (us,))
+            fresh = instance not in known and (cleared or not self.known.containsKey((instance,)))
+            known[instance] = us
             g["pending"] += 1
             g["fired"] = us if g["fired"] is None else max(us, g["fired"])
             if g["last"] is None:
@@ -146,6 +152,10 @@ class Notify(StatefulProcessor):
             else:
                 then = max(us, g["last"] + (self.interval_us if fresh else self.repeat_us))
                 g["due"] = then if g["due"] is None else min(then, g["due"])
+        if cleared:
+            self.known.clear()
+        for instance, us in known.items():
+            self.known.updateValue((instance,), (us,))
         self._store(g)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
