@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tracewell import schemas
 from tracewell.functions import constants as K
 from tracewell.functions.scalars import parse_iso
-from tracewell.session import broadcast_if_small
+from tracewell.session import broadcast_if_small, materialize
 
 
 def parse_json_lines(lines: DataFrame, column: str, schema: T.StructType, name: str = "event"
@@ -139,17 +139,26 @@ def read_csv_clean(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.coalesce(F.col(f"`{first}`") != first, F.lit(True)))
 
 
-def read_csv_union(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Stack CSV files whose columns differ; absent columns are null. Adds ``source_file``.
+def header_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path`` and ``header``, the first line, of every file.
 
-    The first line of every file is looked up in one pass; files with equal headers are one scan.
+    The line is looked up by its number, the least of its file: numbers are combined in memory, where lines beside
+    them would be sorted.
     """
-    first = (spark.read.text(paths).select(
+    lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"),
         F.col("_metadata.file_block_start").alias("at")).where(F.col("at") == 0)
-        .groupBy("path").agg(F.min_by("value", "n").alias("header")))
+    least = materialize(lines.groupBy("path").agg(F.min("n").alias("n")))
+    return lines.select("n", F.col("value").alias("header")).join(broadcast_if_small(least), "n").select("path", "header")
+
+
+def read_csv_union(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Stack CSV files whose columns differ; absent columns are null. Adds ``source_file``.
+
+    Files with equal headers are one scan.
+    """
     same: dict[str, list[str]] = {}
-    for r in first.orderBy("path").toLocalIterator():
+    for r in header_lines(spark, paths).orderBy("path").toLocalIterator():
         same.setdefault(r["header"], []).append(r["path"])
     out = None
     for files in same.values():
