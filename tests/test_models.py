@@ -3,6 +3,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tracewell.models import learners as L
+from tracewell.models import network as N
 from tracewell.operators import aggregates as A
 
 
@@ -102,3 +103,79 @@ def test_balance_and_selection(spark):
     p = _planted(spark, 300)
     rows = L.select_model(p, p, p, ["a", "b"], [("d1", L.gbt(3, 1)), ("d3", L.gbt(3, 3))])
     assert sum(r["selected"] for r in rows) >= 1
+
+
+def _plain_network(w, layers, x, y):
+    """Mean loss and gradient of Spark's weights, all rows at once in double precision."""
+    acts, mats, at = [x], [], 0
+    for n, k in zip(layers, layers[1:]):
+        mats.append((w[at:at + n * k].reshape(n, k), w[at + n * k:at + (n + 1) * k]))
+        at += (n + 1) * k
+        acts.append(acts[-1] @ mats[-1][0] + mats[-1][1])
+        if len(mats) < len(layers) - 1:
+            acts[-1] = 1 / (1 + np.exp(-acts[-1]))
+    p = np.exp(acts[-1]) / np.exp(acts[-1]).sum(axis=1, keepdims=True)
+    loss, e, out = -np.log(p[np.arange(len(y)), y]).mean(), (p - np.eye(layers[-1])[y]) / len(y), []
+    for i in range(len(mats) - 1, -1, -1):
+        out = [(acts[i].T @ e).ravel(), e.sum(axis=0), *out]
+        if i:
+            e = (e @ mats[i][0].T) * acts[i] * (1 - acts[i])
+    return loss, np.concatenate(out)
+
+
+def _crossed(spark, n, parts):
+    """Classes that no single feature tells apart."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(l)) for r, l in zip(x, y)],
+                               "a double, b double, c double, label int")
+    return x, y, L.assembler(["a", "b", "c"]).transform(df.repartition(parts))
+
+
+def test_network_pass_sums_every_row_in_even_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART_ROWS", 100)
+    x, y, df = _crossed(spark, 5000, 3)
+    net = L.packet_mlp(["a", "b", "c"], iters=3)
+    w = net.carry(spark).weights.toArray() * 3
+    blocks = N.row_blocks(df, 3)
+    assert blocks.getNumPartitions() == 56
+    assert sum(b[1].size for b in blocks.collect()) == 5000
+    loss, slope = N.mean_loss(blocks, w, net.layers)
+    want, want_slope = _plain_network(w, net.layers, x, y)
+    assert loss == pytest.approx(want, rel=1e-5)
+    assert slope == pytest.approx(want_slope, abs=1e-6)
+    monkeypatch.setattr(N, "FLAT_PARTS", 8)
+    assert N.mean_loss(blocks, w, net.layers)[0] == pytest.approx(want, rel=1e-5)
+    with pytest.raises(ValueError, match="no rows"):
+        net.fit(df.where("label = 7"))
+
+
+def test_network_fit_is_as_good_as_the_library_fit(spark):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier as Library
+    _, _, df = _crossed(spark, 2000, 2)
+    df = df.cache()
+    net = N.BlockPerceptron([3, 8, 2], 40)
+    other = Library(layers=net.layers, maxIter=40, seed=0).fit(df)
+    model = net.fit(df)
+    first = Library(layers=net.layers, maxIter=0, seed=0).fit(df).weights
+    assert type(model) is type(other) and net.carry(spark).weights == first
+    blocks = N.row_blocks(df, 3)
+    loss = [N.mean_loss(blocks, m.toArray(), net.layers)[0] for m in (first, other.weights, model.weights)]
+    assert loss[2] < 0.5 * loss[0] and loss[2] < 1.3 * loss[1] + 0.01
+    assert L.metrics_row(L.score(model, df)).first()["roc_auc"] > 0.95
+
+
+def test_minimise_ends_at_the_least_value_and_keeps_to_its_limit():
+    calls = []
+
+    def valley(x):
+        calls.append(1)
+        a, b = x
+        return 100 * (b - a * a) ** 2 + (1 - a) ** 2, np.array(
+            [-400 * a * (b - a * a) - 2 * (1 - a), 200 * (b - a * a)])
+
+    x, losses = N.minimise(valley, np.array([-1.2, 1.0]), 120, 1e-9)
+    assert x == pytest.approx([1, 1], abs=1e-3) and losses == sorted(losses, reverse=True)
+    assert len(calls) < 80
+    assert len(N.minimise(valley, np.array([-1.2, 1.0]), 5, 1e-9)[1]) == 6
