@@ -1,6 +1,6 @@
 """Fit of Spark's multilayer perceptron over large tables.
 
-Spark's own fit multiplies small matrices in the JVM, 14-19 microseconds per row and pass here. The same loss
+Spark's own fit multiplies small matrices in the JVM (the README has the times). The same loss
 (sigmoid layers, softmax, cross entropy, the mean over all rows) and its gradient are summed here by NumPy inside the
 tasks, every row in every pass; the driver sees their sums and holds the weights. Blocks are computed in single
 precision and added up in double.
