@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracewell.models import learners as L
 from tracewell.models import network as N
 from tracewell.operators import aggregates as A
+from tracewell.plans.catalog import QUERIES
 
 
 def _newton(x, y):
@@ -179,3 +180,33 @@ def test_minimise_ends_at_the_least_value_and_keeps_to_its_limit():
     assert x == pytest.approx([1, 1], abs=1e-3) and losses == sorted(losses, reverse=True)
     assert len(calls) < 80
     assert len(N.minimise(valley, np.array([-1.2, 1.0]), 5, 1e-9)[1]) == 6
+
+
+def _cross_tables(spark, folder, attack_is_dear, orders=81):
+    """Flows whose price gives the class away, and orders of which the dear ones have status F."""
+    flows = [(i, i % 7, i % 5, i % 11, 900.0 + 100 * i, float(i % 50), (i >= 200) == attack_is_dear) for i in range(400)]
+    spark.createDataFrame(flows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, "
+                          "l_extendedprice double, l_quantity double, attack boolean").select(
+        "*", F.lit("1998-01-01").cast("date").alias("l_shipdate"),
+        F.when(F.col("attack"), "A").otherwise("N").alias("l_returnflag")).write.parquet(f"{folder}/lineitem.parquet")
+    rows = [(i, 1000.0 + 500 * i, "F" if i >= 60 else "O") for i in range(80)] + [(80, 40_000.0, None)]
+    spark.createDataFrame(rows[:orders], "o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(
+        f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_foreign_rows_are_judged_by_the_fitted_model(spark, tmp_path):
+    got = {dear: QUERIES["op_cross_dataset"](spark, _cross_tables(spark, tmp_path / str(dear), dear)).first().asDict()
+           for dear in (True, False)}
+    assert got[True] != got[False]
+    assert [(r["positives"], r["negatives"]) for r in got.values()] == [(20, 61)] * 2
+    # Half of the orders and the one without a status are dearer than the middle of the flows' prices, 20,900.
+    assert [got[True][c] for c in ("tp", "fp", "tn", "fn")] == [20, 21, 40, 0]
+    assert [got[False][c] for c in ("tp", "fp", "tn", "fn")] == [0, 40, 21, 20]
+    assert got[True]["recall"] == 1 and got[False]["recall"] == 0
+    assert got[True]["roc_auc"] > 0.8 and got[False]["roc_auc"] < 0.2
+
+
+def test_no_foreign_rows_give_zero_counts(spark, tmp_path):
+    row = QUERIES["op_cross_dataset"](spark, _cross_tables(spark, tmp_path, True, orders=0)).first()
+    assert [row[c] for c in ("positives", "negatives", "tp", "fp", "tn", "fn", "roc_auc")] == [0] * 6 + [None]
